@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
 
+_MARK = "\x01"  # a control character, all but absent from source text
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``.
@@ -67,35 +69,71 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)[^/](\.[^./]*)\z", 1)
 
 
+def _gaps(text: Column, pattern: Rx, found: Column) -> Column:
+    """The text in front of each match."""
+    return F.slice(F.split(text, pattern.java, -1), F.lit(1), F.size(found))
+
+
 def matches_with_line(text: Column, pattern: Rx, show: Callable[[Column], Column]) -> Column:
     """``line:show(match)`` for every match, the line being where the match starts.
 
-    A single scan for ``pattern | newline`` lists matches and line ends in text
-    order; a newline is only taken where the pattern cannot start, so the
-    matches are those of the pattern alone. Writing the list out again with the
-    matches in hex puts each match on its own line, and the line numbers are the
-    positions after a split. All steps are linear in the text.
+    One pass sets marks around the matches (a text that holds the mark itself is
+    taken apart by gaps and matches instead). The text is then written out with
+    nothing but its line ends and the matches in hex; split into lines, each
+    match stands on its own line. All steps are linear in the text.
     """
-    flags, body = ("(?i)", pattern.java[4:]) if pattern.ignore_case else ("", pattern.java)
-    tokens = F.regexp_extract_all(text, F.lit(f"{flags}(?:{body})|\n"), F.lit(0))
-    marked = F.transform(
-        tokens,
-        lambda t: F.when(t == "\n", t).otherwise(
-            F.concat(F.hex(t), F.lit(" "), F.regexp_replace(t, r"[^\n]", ""))
+    by_mark = F.split(
+        F.regexp_replace(text, pattern.java, f"{_MARK}$0{_MARK}"), _MARK
+    )
+    by_gap = let(
+        pattern.all(text),
+        lambda found: F.flatten(
+            F.zip_with(_gaps(text, pattern, found), found, lambda gap, m: F.array(gap, m))
         ),
     )
-    lines = F.split(F.array_join(marked, ""), "\n")
+
+    def kept(piece: Column, index: Column) -> Column:
+        ends = F.repeat(F.lit("\n"), newlines(piece))
+        return F.when(index % 2 == 0, ends).otherwise(F.concat(F.hex(piece), F.lit(" "), ends))
 
     def on_line(line: Column, index: Column) -> Column:
-        found = F.filter(F.split(line, " "), lambda h: h != "")
+        number = F.concat((index + 1).cast("string"), F.lit(":"))
         return F.transform(
-            found,
-            lambda h: F.concat(
-                (index + 1).cast("string"), F.lit(":"), show(F.unhex(h).cast("string"))
-            ),
+            F.filter(F.split(line, " "), lambda h: h != ""),
+            lambda h: F.concat(number, show(F.unhex(h).cast("string"))),
+        )
+
+    def numbered(pieces: Column) -> Column:
+        lines = F.split(F.array_join(F.transform(pieces, kept), ""), "\n")
+        return strings_if(F.size(pieces) > 1, F.flatten(F.transform(lines, on_line)))
+
+    return let(F.when(text.contains(_MARK), by_gap).otherwise(by_mark), numbered)
+
+
+def matches_with_start(text: Column, pattern: Rx) -> Column:
+    """(match, start) for every match, starts counted in characters from 0.
+
+    The starts are running sums over the gaps between the matches.
+    """
+
+    def placed(found: Column) -> Column:
+        pairs = F.arrays_zip(_gaps(text, pattern, found).alias("gap"), found.alias("match"))
+        begin = F.struct(
+            F.lit(0).alias("at"),
+            F.array().cast("array<struct<match:string,start:int>>").alias("placed"),
         )
 
-    return F.flatten(F.transform(lines, on_line))
+        def step(state: Column, pair: Column) -> Column:
+            start = state["at"] + F.length(pair["gap"])
+            here = F.struct(pair["match"].alias("match"), start.alias("start"))
+            return F.struct(
+                (start + F.length(pair["match"])).alias("at"),
+                F.concat(state["placed"], F.array(here)).alias("placed"),
+            )
+
+        return F.aggregate(pairs, begin, step, lambda state: state["placed"])
+
+    return let(pattern.all(text), placed)
 
 
 # Pieces of source text between the braces of a block.

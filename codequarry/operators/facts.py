@@ -28,12 +28,14 @@ FUNCTIONS = {
     "python": (Rx(r"""(?:async\s+)?def\s+([A-Za-z_][\w]*)\s*\("""),),
     "java": (
         Rx(
-            r"""(?:public|private|protected)?\s*(?:static\s+)?[\w<>,[\]]+\s+([A-Za-z_][\w]*)\s*\("""
+            r"""(?:public|private|protected)?\s*(?:static\s+)?[\w<>,[\]]+\s+([A-Za-z_][\w]*)\s*\(""",
+            faster=r"""(?:\s++|p(?:ublic|rivate|rotected)\s*+|(?=static)|(?<![\s\w<>,[\]]))(?:static\s+)?(?<![\w<>,[\]])[\w<>,[\]]++\s++([A-Za-z_]\w*+)\s*+\(""",
         ),
     ),
     "csharp": (
         Rx(
-            r"""(?:public|private|protected|internal)?\s*(?:static\s+)?[\w<>,[\]]+\s+([A-Za-z_][\w]*)\s*\("""
+            r"""(?:public|private|protected|internal)?\s*(?:static\s+)?[\w<>,[\]]+\s+([A-Za-z_][\w]*)\s*\(""",
+            faster=r"""(?:\s++|(?:p(?:ublic|rivate|rotected)|internal)\s*+|(?=static)|(?<![\s\w<>,[\]]))(?:static\s+)?(?<![\w<>,[\]])[\w<>,[\]]++\s++([A-Za-z_]\w*+)\s*+\(""",
         ),
     ),
     "go": (Rx(r"""func\s+(?:\([^)]+\)\s*)?([A-Za-z_][\w]*)\s*\("""),),
@@ -43,7 +45,10 @@ FUNCTIONS = {
     "kotlin": (Rx(r"""fun\s+([A-Za-z_][\w]*)\s*\("""),),
     "swift": (Rx(r"""func\s+([A-Za-z_][\w]*)\s*\("""),),
     "dart": (
-        Rx(r"""(?:Future<[^>]+>\s+)?([A-Za-z_][\w]*)\s*\([^)]*\)\s*(?:async)?\s*\{"""),
+        Rx(
+            r"""(?:Future<[^>]+>\s+)?([A-Za-z_][\w]*)\s*\([^)]*\)\s*(?:async)?\s*\{""",
+            faster=r"""(?:Future<[^>]+>\s+)?(?<![A-Za-z_])([A-Za-z_]\w*+)\s*+\([^)]*+\)\s*+(?:async)?\s*+\{""",
+        ),
     ),
     "scala": (Rx(r"""def\s+([A-Za-z_][\w]*)\s*\("""),),
     "elixir": (Rx(r"""def(?:p)?\s+([A-Za-z_][\w!?]*)\s*(?:\(|do)"""),),
@@ -92,10 +97,14 @@ DEPENDENCY_FIELDS = {
 }
 
 ORM_CALL = Rx(
-    r"""\b([A-Za-z_$][\w$]*)\.(find|findOne|findById|findByIdAndUpdate|findByIdAndDelete|create|insertMany|updateOne|updateMany|deleteOne|deleteMany)\s*\("""
+    r"""\b([A-Za-z_$][\w$]*)\.(find|findOne|findById|findByIdAndUpdate|findByIdAndDelete|create|insertMany|updateOne|updateMany|deleteOne|deleteMany)\s*\(""",
+    faster=r"""((?:[A-Za-z_](?<!\w[A-Za-z_])|\$(?<=\w\$))[\w$]*+)\.(find|findOne|findById|findByIdAndUpdate|findByIdAndDelete|create|insertMany|updateOne|updateMany|deleteOne|deleteMany)\s*+\(""",
 )
 ORM_WORDS = (".find", ".create", ".insertMany", ".update", ".delete")
-QUERY_CALL = Rx(r"""\b([A-Za-z_$][\w$]*)\.(query|execute)\s*\(""")
+QUERY_CALL = Rx(
+    r"""\b([A-Za-z_$][\w$]*)\.(query|execute)\s*\(""",
+    faster=r"""((?:[A-Za-z_](?<!\w[A-Za-z_])|\$(?<=\w\$))[\w$]*+)\.(query|execute)\s*+\(""",
+)
 QUERY_WORDS = (".query", ".execute")
 CONNECTION_CALL = Rx(
     r"""\b(?:db|database|connection)\.(query|execute|run|prepare)\s*\(""", ignore_case=True

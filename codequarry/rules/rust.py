@@ -6,7 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
-from codequarry.functions.text import let, mentions, no_strings, rooted, strings_if
+from codequarry.functions.text import (
+    let,
+    matches_with_start,
+    mentions,
+    no_strings,
+    rooted,
+    strings_if,
+)
 from codequarry.rules.base import Source, call, grpc_rows, http_rows, routes
 
 # --- fixed values: patterns --------------------------------------------------
@@ -24,13 +31,11 @@ AXUM_METHOD = Rx(r"""\b(get|post|put|patch|delete|head|options)\s*\(""", ignore_
 ROCKET_EVIDENCE = Rx(r"""rocket::|extern\s+crate\s+rocket|#\[launch\]""")
 
 WARP_EVIDENCE = "warp::"
-# Groups 1 and 2 are the text around the start of the match: 200 characters
-# before it and 300 from it on, fewer at the ends of the file.
-WARP_PATH = Rx(
-    r"""(?=warp::path)(?<=(^[\s\S]{0,199}|[\s\S]{200}))(?=([\s\S]{0,300}))warp::path!?\s*\(\s*["']([^"']+)["']\s*\)"""
-)
+WARP_PATH = Rx(r"""warp::path!?\s*\(\s*["']([^"']+)["']\s*\)""")
 WARP_METHOD = Rx(r"""warp::(get|post|put|patch|delete|head|options)\s*\(""", ignore_case=True)
 
+WARP_WINDOW = (200, 300)
+
 GRPC_EVIDENCE = Rx(r"""tonic::|tonic_build|\.add_service\s*\(""")
 GRPC_SERVICE = Rx(r"""\.add_service\s*\(\s*([A-Za-z_]\w*)Server::new""")
 # -----------------------------------------------------------------------------
@@ -64,28 +69,30 @@ def rocket(src: Source) -> Column:
     return routes("Rocket", gate, src.text, ATTRIBUTE_ROUTE)
 
 
-def nearby_calls(text: Column, path: Rx, method: Rx) -> Column:
-    """A call per path and method named in the window around the path, else ANY."""
+def nearby_calls(text: Column, path: Rx, method: Rx, window: tuple[int, int]) -> Column:
+    """A call per path and method named near the path, else ANY.
+
+    The window is so many characters before and from the start of the match.
+    """
+    before, after = window
 
     def one(found: Column) -> Column:
-        window = F.concat(found["before"], found["after"])
+        begin = F.greatest(found["start"] - before, F.lit(0))
+        near = F.substr(text, begin + 1, found["start"] + after - begin)
         named = let(
-            F.transform(method.all(window, 1), F.upper),
+            F.transform(method.all(near, 1), F.upper),
             lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(F.lit("ANY"))),
         )
-        return F.transform(named, lambda m: call(m, rooted(found["path"])))
+        own = rooted(path.part(found["match"], 1))
+        return let(own, lambda p: F.transform(named, lambda m: call(m, p)))
 
-    found = F.arrays_zip(
-        path.all(text, 1).alias("before"),
-        path.all(text, 2).alias("after"),
-        path.all(text, 3).alias("path"),
-    )
-    return F.flatten(F.transform(found, one))
+    return F.flatten(F.transform(matches_with_start(text, path), one))
 
 
 def warp(src: Source) -> Column:
     gate = mentions(src.text, WARP_EVIDENCE)
-    return http_rows("Warp", strings_if(gate, nearby_calls(src.text, WARP_PATH, WARP_METHOD)))
+    calls = nearby_calls(src.text, WARP_PATH, WARP_METHOD, WARP_WINDOW)
+    return http_rows("Warp", strings_if(gate, calls))
 
 
 def grpc(src: Source) -> Column:

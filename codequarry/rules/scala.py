@@ -17,12 +17,9 @@ PLAY_PATH = Rx(r"""@Path\s*\(\s*["']([^"']+)["']\s*\)""")
 PLAY_VERB = Rx(r"""@(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD)\b""")
 
 AKKA_EVIDENCE = "akka.http.scaladsl"
-# Groups 1 and 2 are the text around the start of the match: 120 characters
-# before it and 300 from it on, fewer at the ends of the file.
-AKKA_PATH = Rx(
-    r"""\b(?=path)(?<=(^[\s\S]{0,119}|[\s\S]{120}))(?=([\s\S]{0,300}))path(?:Prefix)?\s*\(\s*["']([^"']+)["']\s*\)"""
-)
+AKKA_PATH = Rx(r"""\bpath(?:Prefix)?\s*\(\s*["']([^"']+)["']\s*\)""")
 AKKA_METHOD = Rx(r"""\b(get|post|put|patch|delete|options|head)\s*\{""", ignore_case=True)
+AKKA_WINDOW = (120, 300)
 # -----------------------------------------------------------------------------
 
 
@@ -45,4 +42,5 @@ def play(src: Source) -> Column:
 
 def akka_http(src: Source) -> Column:
     gate = mentions(src.text, AKKA_EVIDENCE)
-    return http_rows("Akka HTTP", strings_if(gate, nearby_calls(src.text, AKKA_PATH, AKKA_METHOD)))
+    calls = nearby_calls(src.text, AKKA_PATH, AKKA_METHOD, AKKA_WINDOW)
+    return http_rows("Akka HTTP", strings_if(gate, calls))
