@@ -140,9 +140,9 @@ def matches_with_start(text: Column, pattern: Rx) -> Column:
 _PIECES = (
     r"//[^\n]*+",
     r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)",
-    r"'(?:[^'\\]|\\[\s\S])*+(?:'|\z)",
-    r'"(?:[^"\\]|\\[\s\S])*+(?:"|\z)',
-    r"`(?:[^`\\]|\\[\s\S])*+(?:`|\z)",
+    r"'(?:[^'\\]|\\[\s\S]?)*+(?:'|\z)",
+    r'"(?:[^"\\]|\\[\s\S]?)*+(?:"|\z)',
+    r"`(?:[^`\\]|\\[\s\S]?)*+(?:`|\z)",
     r"[^{}/'\"`]++",
     r"/",
 )
@@ -165,7 +165,7 @@ def brace_block(text: Column) -> Column:
     only deeper or unclosed ones are tokenised to the end and folded.
     """
     quick = F.regexp_extract(text, r"\A" + _nested_block(_QUICK_DEPTH), 0)
-    tokens = F.regexp_extract_all(text, F.lit(rf"{_PIECE}|[\s\S]"), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(rf"{_PIECE}|[{{}}]"), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
 
     def step(state: Column, token: Column) -> Column:

@@ -56,14 +56,20 @@ def kind(path: Column) -> Column:
     )
 
 
-def write_corpus(files: DataFrame, target: str, mode: str = "errorifexists") -> None:
+def write_corpus(
+    files: DataFrame, target: str, mode: str = "errorifexists", rebalance: bool = False
+) -> None:
     """Write source files as Parquet, one directory per kind.
 
-    Nothing is shuffled: each task writes the kinds it holds.
+    By default nothing is shuffled and each task writes the kinds it holds. With
+    ``rebalance`` one shuffle gathers each kind into files of the advisory
+    partition size, splitting kinds that are large, which spares later scans
+    many small files.
     """
-    files.withColumn("kind", kind(F.col("path"))).write.partitionBy("kind").mode(mode).parquet(
-        target
-    )
+    laid_out = files.withColumn("kind", kind(F.col("path")))
+    if rebalance:
+        laid_out = laid_out.hint("rebalance", "kind")
+    laid_out.write.partitionBy("kind").mode(mode).parquet(target)
 
 
 def read_corpus(spark: SparkSession, source: str) -> DataFrame:
