@@ -74,23 +74,32 @@ def _gaps(text: Column, pattern: Rx, found: Column) -> Column:
     return F.slice(F.split(text, pattern.java, -1), F.lit(1), F.size(found))
 
 
-def matches_with_line(text: Column, pattern: Rx, show: Callable[[Column], Column]) -> Column:
-    """``line:show(match)`` for every match, the line being where the match starts.
+def pieces_around(text: Column, pattern: Rx) -> Column:
+    """The text cut at its matches: gap, match, gap, ..., match, gap.
 
-    One pass sets marks around the matches (a text that holds the mark itself is
-    taken apart by gaps and matches instead). The text is then written out with
-    nothing but its line ends and the matches in hex; split into lines, each
-    match stands on its own line. All steps are linear in the text.
+    One pass sets marks around the matches; only a text that holds the mark
+    itself is taken apart by gaps and matches.
     """
-    by_mark = F.split(
-        F.regexp_replace(text, pattern.java, f"{_MARK}$0{_MARK}"), _MARK
-    )
+    marked = F.regexp_replace(text, pattern.java, f"{_MARK}$0{_MARK}")
     by_gap = let(
         pattern.all(text),
-        lambda found: F.flatten(
-            F.zip_with(_gaps(text, pattern, found), found, lambda gap, m: F.array(gap, m))
+        lambda found: F.concat(
+            F.flatten(
+                F.zip_with(_gaps(text, pattern, found), found, lambda gap, m: F.array(gap, m))
+            ),
+            F.slice(F.split(text, pattern.java, -1), -1, 1),
         ),
     )
+    return F.when(text.contains(_MARK), by_gap).otherwise(F.split(marked, _MARK))
+
+
+def matches_with_line(text: Column, pattern: Rx, show: Callable[[Column], Column]) -> Column:
+    """``line:show(match)`` for every match, the line being where the match starts.
+
+    The text is written out again with nothing but its line ends and the matches
+    in hex; split into lines, each match stands on its own line. All steps are
+    linear in the text.
+    """
 
     def kept(piece: Column, index: Column) -> Column:
         ends = F.repeat(F.lit("\n"), newlines(piece))
@@ -107,7 +116,7 @@ def matches_with_line(text: Column, pattern: Rx, show: Callable[[Column], Column
         lines = F.split(F.array_join(F.transform(pieces, kept), ""), "\n")
         return strings_if(F.size(pieces) > 1, F.flatten(F.transform(lines, on_line)))
 
-    return let(F.when(text.contains(_MARK), by_gap).otherwise(by_mark), numbered)
+    return let(pieces_around(text, pattern), numbered)
 
 
 def matches_with_start(text: Column, pattern: Rx) -> Column:
