@@ -13,9 +13,9 @@ from codequarry.rules.base import Source, call, event_rows, grpc_rows, http_rows
 SPRING_EVIDENCE = Rx(
     r"""org\.springframework\.|@(RestController|Controller|RequestMapping|GetMapping|PostMapping|PutMapping|PatchMapping|DeleteMapping)\b"""
 )
-# Group 2 is the text behind the annotation name, up to 300 characters from the "@".
+# Group 1 is the text behind the "@", 300 characters with it.
 SPRING_MAPPING = Rx(
-    r"""@(GetMapping|PostMapping|PutMapping|PatchMapping|DeleteMapping|RequestMapping)(?=([\s\S]{0,285}))\s*(?:\(([^)]*)\))?"""
+    r"""@(?=([\s\S]{0,299}))(GetMapping|PostMapping|PutMapping|PatchMapping|DeleteMapping|RequestMapping)\s*(?:\(([^)]*)\))?"""
 )
 SPRING_MAPPING_ARGS = Rx(r"""^@\w+\s*\(([^)]*)\)""")
 SPRING_CLASS = Rx(
@@ -94,7 +94,7 @@ def spring(src: Source) -> Column:
         src.text, "org.springframework.", "Controller", "Mapping"
     ) & SPRING_EVIDENCE.found_in(src.text)
     found = F.arrays_zip(
-        SPRING_MAPPING.all(src.text).alias("match"), SPRING_MAPPING.all(src.text, 2).alias("ahead")
+        SPRING_MAPPING.all(src.text).alias("match"), SPRING_MAPPING.all(src.text, 1).alias("ahead")
     )
     calls = let(
         path_of(SPRING_CLASS.part(src.text, 1)),
