@@ -77,7 +77,9 @@ def packages(files: DataFrame) -> DataFrame:
         F.col("json.scripts").alias("scripts"),
         F.concat(
             *[
-                F.coalesce(F.map_keys(f"json.{m}"), F.array().cast("array<string>"))
+                F.coalesce(
+                    F.array_distinct(F.map_keys(f"json.{m}")), F.array().cast("array<string>")
+                )
                 for m in _DEPENDENCY_MAPS
             ]
         ).alias("dependencies"),
@@ -85,7 +87,7 @@ def packages(files: DataFrame) -> DataFrame:
 
 
 def package_dependencies(files: DataFrame) -> DataFrame:
-    """(project, path, ord, dependency), repeats across the three maps kept."""
+    """(project, path, ord, dependency), repeats kept across the three maps."""
     return packages(files).select(
         "project", "path", F.posexplode("dependencies").alias("ord", "dependency")
     )
@@ -135,7 +137,10 @@ def _detected(files: DataFrame) -> DataFrame:
         "name",
         _role(
             F.col("path"),
-            F.try_element_at("scripts", F.lit("start")),
+            # Of a key written twice the last value counts.
+            F.try_element_at(
+                F.filter(F.map_entries("scripts"), lambda e: e["key"] == "start"), F.lit(-1)
+            )["value"],
             F.col("found.frontend"),
             F.col("found.backend"),
         ).alias("role"),

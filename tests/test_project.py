@@ -46,6 +46,12 @@ def test_roles(source_files):
     assert roles == {p: role for p, (_, role) in cases.items()}
 
 
+def test_the_last_start_script_counts(source_files):
+    text = '{"scripts": {"start": "x", "start": ""}, "dependencies": {"next": "1", "koa": "1"}}'
+    (row,) = project.package_profiles(source_files(("package.json", text))).collect()
+    assert row.role == "unknown"
+
+
 def test_project_sections(source_files):
     files = source_files(
         package("x/client/package.json", dependencies={"spring-web": "1", "pg": "1"}),
