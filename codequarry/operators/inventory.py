@@ -14,27 +14,24 @@ def file_inventory(files: DataFrame, path: str = ".") -> DataFrame:
     return scan(files, path).select("project", "path")
 
 
-def directory_inventory(files: DataFrame, path: str = ".") -> DataFrame:
-    """(project, directory) of every directory that holds scanned files.
+def _directories(files: DataFrame, name: str) -> DataFrame:
+    """Every directory on the way to a file.
 
-    Directories are made distinct before their parents are listed, so a
-    directory with very many files counts once per task.
+    Directories are made distinct before their parents are listed, so one with
+    very many files counts once per task.
     """
-    parent = F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1)
-    holders = (
-        scan(files, path)
-        .select("project", parent.alias("holder"))
-        .where(F.col("holder") != "")
-        .distinct()
-    )
+    holder = F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1)
+    holders = files.select("project", holder.alias("holder")).where("holder <> ''").distinct()
     parts = F.split("holder", "/")
-    depth = F.sequence(F.lit(1), F.size(parts))
-    prefixes = F.transform(depth, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    start = path.strip("/")
-    return (
-        holders.select("project", F.explode(prefixes).alias("directory"))
-        .where(F.lit(True) if start in ("", ".") else F.col("directory").startswith(start + "/"))
-        .distinct()
+    depths = F.sequence(F.lit(1), F.size(parts))
+    upward = F.transform(depths, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return holders.select("project", F.explode(upward).alias(name)).distinct()
+
+
+def directory_inventory(files: DataFrame, path: str = ".") -> DataFrame:
+    """(project, directory) of every directory that holds scanned files."""
+    return under(_directories(scan(files, path), "path"), path).select(
+        "project", F.col("path").alias("directory")
     )
 
 
@@ -63,13 +60,8 @@ def file_info(files: DataFrame) -> DataFrame:
 
 
 def directory_info(files: DataFrame) -> DataFrame:
-    """Every directory as (project, path, type); sizes of directories are unknown here."""
-    parent = F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1)
-    holders = files.select("project", parent.alias("holder")).where("holder != ''").distinct()
-    parts = F.split("holder", "/")
-    depth = F.sequence(F.lit(1), F.size(parts))
-    prefixes = F.transform(depth, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    return holders.select("project", F.explode(prefixes).alias("path")).distinct().select(
+    """Every directory as (project, path, type); a table of files knows no sizes of them."""
+    return _directories(files, "path").select(
         "project", "path", F.lit("directory").alias("type")
     )
 

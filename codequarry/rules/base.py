@@ -54,11 +54,14 @@ def rows_if(condition: Column, rows: Column) -> Column:
     return F.when(condition, rows).otherwise(no_rows())
 
 
-def _row(**values: Column | str) -> Column:
+def _row(**values: Column | str | None) -> Column:
+    missing = F.lit(None).cast("string")
+
     def field(name: str) -> Column:
         value = values.get(name)
-        value = value if isinstance(value, Column) else F.lit(value)
-        return value.cast("string").alias(name)
+        if value is None:
+            return missing.alias(name)
+        return (value if isinstance(value, Column) else F.lit(value)).alias(name)
 
     return F.struct(*[field(name) for name in FIELDS])
 
