@@ -114,8 +114,8 @@ OP2 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
@@ -133,19 +133,19 @@ OP5 = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), windows AS (
-  SELECT doc_id, at, list_slice(words, at, at + 19) AS win
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS at FROM w)
+  SELECT doc_id, pos, list_slice(words, pos, pos + 19) AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM w)
 ), later AS (
-  SELECT doc_id, at FROM (
-    SELECT doc_id, at, row_number() OVER (PARTITION BY win ORDER BY doc_id, at) AS n FROM windows
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS n FROM windows
   ) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS at FROM later
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM later
 ), word AS (
-  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM w
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w
 ), kept AS (
-  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS kept
-  FROM word ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
   CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
