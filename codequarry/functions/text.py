@@ -119,78 +119,37 @@ def matches_with_line(text: Column, pattern: Rx, show: Callable[[Column], Column
     return let(pieces_around(text, pattern), numbered)
 
 
-def matches_with_start(text: Column, pattern: Rx) -> Column:
-    """(match, start) for every match, starts counted in characters from 0.
-
-    The starts are running sums over the gaps between the matches.
+def matches_with_window(
+    text: Column, pattern: Rx, window: tuple[int, int], shortest: int
+) -> Column:
+    """(match, near) for every match: the text so many characters before and from its start.
+
+    ``shortest`` is the least length of a match. So many matches at most have room in
+    a window, and each piece of text around them is cut to the window first, so the
+    work by match is bounded whatever the length of the text.
     """
-
-    def placed(found: Column) -> Column:
-        pairs = F.arrays_zip(_gaps(text, pattern, found).alias("gap"), found.alias("match"))
-        begin = F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<match:string,start:int>>").alias("placed"),
+    before, after = window
+    back, ahead = 2 * (before // shortest + 1), 2 * (after // shortest + 1) + 1
+
+    def one(pieces: Column, tails: Column, heads: Column, i: Column) -> Column:
+        first = F.greatest(i - back, F.lit(0))
+        left = F.array_join(F.slice(tails, first + 1, i - first), "")
+        right = F.array_join(F.slice(heads, i + 1, F.lit(ahead)), "")
+        near = F.concat(F.right(left, F.lit(before)), F.left(right, F.lit(after)))
+        return F.struct(F.get(pieces, i).alias("match"), near.alias("near"))
+
+    def windows(pieces: Column) -> Column:
+        sides = F.struct(
+            F.transform(pieces, lambda p: F.right(p, F.lit(before))).alias("tails"),
+            F.transform(pieces, lambda p: F.left(p, F.lit(after))).alias("heads"),
         )
-
-        def step(state: Column, pair: Column) -> Column:
-            start = state["at"] + F.length(pair["gap"])
-            here = F.struct(pair["match"].alias("match"), start.alias("start"))
-            return F.struct(
-                (start + F.length(pair["match"])).alias("at"),
-                F.concat(state["placed"], F.array(here)).alias("placed"),
-            )
-
-        return F.aggregate(pairs, begin, step, lambda state: state["placed"])
-
-    return let(pattern.all(text), placed)
-
-
-# Pieces of source text between the braces of a block.
-_PIECES = (
-    r"//[^\n]*+",
-    r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)",
-    r"'(?:[^'\\]|\\[\s\S]?)*+(?:'|\z)",
-    r'"(?:[^"\\]|\\[\s\S]?)*+(?:"|\z)',
-    r"`(?:[^`\\]|\\[\s\S]?)*+(?:`|\z)",
-    r"[^{}/'\"`]++",
-    r"/",
-)
-_PIECE = "(?:" + "|".join(_PIECES) + ")"
-_QUICK_DEPTH = 12
-
-
-def _nested_block(depth: int) -> str:
-    block = r"\{" + _PIECE + r"*+\}"
-    for _ in range(depth):
-        block = r"\{(?:" + _PIECE + "|" + block + r")*+\}"
-    return block
-
-
-def brace_block(text: Column) -> Column:
-    """The block from the ``{`` that opens ``text`` to its ``}``, else ''.
-
-    Braces in quotes and comments do not count. Blocks nested up to a fixed
-    depth are read by one possessive pattern, which stops at the closing brace;
-    only deeper or unclosed ones are tokenised to the end and folded.
-    """
-    quick = F.regexp_extract(text, r"\A" + _nested_block(_QUICK_DEPTH), 0)
-    tokens = F.regexp_extract_all(text, F.lit(rf"{_PIECE}|[{{}}]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
-
-    def step(state: Column, token: Column) -> Column:
-        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
-        seen = state["seen"] + F.length(token)
-        closes = (token == "}") & (depth == 0)
-        return F.when(state["end"] > 0, state).otherwise(
-            F.struct(
-                depth.alias("depth"),
-                seen.alias("seen"),
-                F.when(closes, seen).otherwise(0).alias("end"),
-            )
+        starts = F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))
+        found = let(
+            sides,
+            lambda s: F.transform(starts, lambda i: one(pieces, s["tails"], s["heads"], i)),
+        )
+        return F.when(F.size(pieces) > 1, found).otherwise(
+            F.array().cast("array<struct<match:string,near:string>>")
         )
 
-    folded = let(
-        F.aggregate(tokens, start, step)["end"],
-        lambda end: F.when(end > 0, F.substring(text, F.lit(1), end)).otherwise(""),
-    )
-    return let(quick, lambda q: F.when(q != "", q).otherwise(folded))
+    return let(pieces_around(text, pattern), windows)

@@ -258,8 +258,11 @@ def project_dependencies(files: DataFrame) -> DataFrame:
     return package_dependencies(files).select("project", "dependency").distinct()
 
 
-def _name_rows(files: DataFrame) -> DataFrame:
-    """(project, section, value, detail) read from the names of files alone."""
+def _name_rows(files: DataFrame, paths: bool) -> DataFrame:
+    """(project, section, value, detail) read from the names of files alone.
+
+    With ``paths`` those that list the files themselves, which are unique, else the others.
+    """
     path, name = F.col("path"), basename(F.col("path"))
 
     def row(section: str, value: Column, detail: Column | None = None) -> Column:
@@ -270,12 +273,17 @@ def _name_rows(files: DataFrame) -> DataFrame:
         )
 
     language = display_language(path)
-    rows = F.array(
-        row("languages", language),
-        row("runtimes", let(language, lambda x: _named(x, RUNTIMES))),
-        row("packageManagers", _named(name, MANAGERS)),
-        row("entryPoints", F.when(name.isin(*ENTRY_POINTS), path)),
-        row("manifests", F.when(name.isin(*MANIFESTS), path), name),
+    rows = (
+        F.array(
+            row("entryPoints", F.when(name.isin(*ENTRY_POINTS), path)),
+            row("manifests", F.when(name.isin(*MANIFESTS), path), name),
+        )
+        if paths
+        else F.array(
+            row("languages", language),
+            row("runtimes", let(language, lambda x: _named(x, RUNTIMES))),
+            row("packageManagers", _named(name, MANAGERS)),
+        )
     )
     return (
         scan(files)
@@ -324,10 +332,11 @@ def project_profiles(files: DataFrame) -> DataFrame:
     """Everything known of each project: distinct (project, section, value, detail).
 
     Sections are those of a project profile. ``detail`` is the side a framework
-    is used on and the type of a manifest. One pass over names, one over the
-    packages, one shuffle.
+    is used on and the type of a manifest. Files listed by path are unique and
+    are not shuffled; the rest goes through one shuffle.
     """
-    return _name_rows(files).unionByName(_package_rows(files)).distinct()
+    repeated = _name_rows(files, paths=False).unionByName(_package_rows(files))
+    return repeated.distinct().unionByName(_name_rows(files, paths=True))
 
 
 def project_summary(files: DataFrame) -> DataFrame:

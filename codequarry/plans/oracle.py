@@ -67,7 +67,9 @@ def _inventory() -> dict[str, str]:
         "read_files": f"""{CORPUS} SELECT project, path, content FROM corpus
   WHERE (project, path) IN ({entry})""",
         "scoped_scan": f"{CORPUS} SELECT project, path FROM corpus WHERE path LIKE 'docs/dist/%'",
-        "decode_text": "SELECT page_id, md5(chr(65533) || html) AS digest FROM pages",
+        "decode_text": """SELECT page_id, md5(chr(65533) || left(html, length(html) // 2) || chr(65533)
+  || substr(html, length(html) // 2 + 1) || repeat(chr(65533), 3) || 'A' || chr(65533)) AS digest
+  FROM pages""",
         "json_rows": f"""{CORPUS} SELECT '{{"project":' || to_json(project) || ',"path":' ||
   to_json(path) || ',"type":"file","size":' || size || ',"extension":' || to_json(extension)
   || '}}' AS json FROM ({info})""",
@@ -240,8 +242,8 @@ def _named_functions() -> str:
 
 _HEADS = matches(
     mapping.HANDLER_START,
-    "SELECT project, path AS file, content FROM files "
-    "WHERE contains(lower(content), 'socket.on')",
+    "SELECT project, file, content FROM code "
+    "WHERE language IS NOT NULL AND contains(lower(content), 'socket.on')",
 )
 # Every start with its arrow, brace and block; blocks are found by summing depths.
 _HANDLERS = f"""
@@ -322,6 +324,96 @@ def _model_name(value: str) -> str:
     return f"nullif(trim(regexp_replace({bare}, {rx(flows.CODE_EXTENSION)}, '')), '')"
 
 
+def _json_list(name: str, values: str) -> str:
+    return f"""',"{name}":' || coalesce(CAST(to_json({values}) AS VARCHAR), '[]')"""
+
+
+# Fields of a fact as JSON, with what orders them.
+_JSON_ITEMS = {
+    "functions": ("functions", ("name",), "true"),
+    "services": ("imports", ("source",), "kind = 'service'"),
+    "repositories": ("imports", ("source",), "kind = 'repository'"),
+    "externalApis": ("external_apis", ("client", "method", "target"), "true"),
+}
+
+
+def _json_item(texts: tuple[str, ...]) -> str:
+    shown = " || ',' || ".join(f"""'"{t}":' || to_json({t})""" for t in texts)
+    return f"""'{{' || {shown} || ',"line":' || line || '}}'"""
+
+
+def _json_grouped(rows: str, texts: tuple[str, ...], keys: str) -> str:
+    order = " || ':' || ".join([*texts, "line"])
+    return f"""SELECT {keys}, '[' || string_agg({_json_item(texts)}, ',' ORDER BY {order}) || ']' AS json
+  FROM ({rows}) GROUP BY {keys}"""
+
+
+def _json_facts(used: str) -> str:
+    """The lists of a flow as JSON, by file, and its models by interface."""
+    lists = [
+        f"json_{n} AS ({_json_grouped(f'SELECT * FROM {t} WHERE {where}', texts, 'project, file')})"
+        for n, (t, texts, where) in _JSON_ITEMS.items()
+    ]
+    models = f"""SELECT DISTINCT u.project, u.file, u.ord, source, line FROM ({used}) AS u
+    JOIN imports AS i ON u.project = i.project AND u.file = i.file AND i.kind = 'model'
+    AND lower({_model_name("i.source")}) = u.model"""
+    lists.append(f"json_models AS ({_json_grouped(models, ('source',), 'project, file, ord')})")
+    return ",\n".join(lists)
+
+
+_JSON_JOINS = "\n".join(
+    f'LEFT JOIN json_{n} AS "{n}" ON m.project = "{n}".project AND m.file = "{n}".file'
+    for n in _JSON_ITEMS
+)
+
+
+def _json_object(fields: list[tuple[str, str]]) -> str:
+    """Text of an object from the JSON of its fields; those that are null are left out."""
+    shown = ", ".join(f"""'"{name}":' || {json}""" for name, json in fields)
+    return f"'{{' || concat_ws(',', {shown}) || '}}'"
+
+
+def _json_scope(present: str, first: str, last: str) -> str:
+    return f"""CASE WHEN {present} IS NOT NULL THEN
+    '{{"name":"<anonymous>","type":"callback","startLine":' || {first} || ',"endLine":' || {last} || '}}' END"""
+
+
+_JSON_FLOW = [
+    ("project", "to_json(m.project)"),
+    ("ord", "m.ord"),
+    (
+        "interface",
+        _json_object(
+            [
+                *((c, f"to_json(m.{c})") for c in COLUMNS.split(", ") if c != "direction"),
+                ("language", "to_json(flow.language)"),
+                ("file", "to_json(m.file)"),
+            ]
+        ),
+    ),
+    ("handler", "to_json(m.handler)"),
+    ("scope", _json_scope("m.handler", "m.line", "m.end_line")),
+    ("sourceScope", _json_scope('m."sourceHandler"', 'm."sourceLine"', "m.source_end_line")),
+    ("sourceHandler", 'to_json(m."sourceHandler")'),
+    ("sourceLine", 'm."sourceLine"'),
+    ("services", "coalesce(services.json, '[]')"),
+    ("repositories", "coalesce(repositories.json, '[]')"),
+    ("models", "coalesce(models.json, '[]')"),
+    (
+        "database",
+        """'[' || CASE WHEN calls = '' THEN '' ELSE array_to_string(['{"model":' ||
+    to_json(string_split(c, '.')[1]) || ',"operation":' || to_json(string_split(c, '.')[2]) || '}'
+    FOR c IN string_split(calls, '|')], ',') END || ']'""",
+    ),
+    ("externalApis", "coalesce(\"externalApis\".json, '[]')"),
+    (
+        "outputs",
+        """CASE WHEN emits = '' THEN '[]' ELSE CAST(to_json(string_split(emits, '|')) AS VARCHAR) END""",
+    ),
+    ("functions", "coalesce(functions.json, '[]')"),
+]
+
+
 def _flows() -> dict[str, str]:
     listed = ["functions", "services", "repositories", "externalApis"]
     used = f"""SELECT DISTINCT project, file, ord,
@@ -333,6 +425,21 @@ def _flows() -> dict[str, str]:
     AND lower({_model_name("i.source")}) = u.model) AS m GROUP BY ALL"""
     interface = ", ".join("m." + c for c in COLUMNS.split(", ") if c != "direction")
     facts_of = _per_file(listed)
+    own = [f"CASE WHEN socket THEN {c} ELSE '' END" for c in ("models", "calls", "emits")]
+    scope = """CASE WHEN {0} IS NOT NULL
+    THEN '<anonymous>/callback/' || {1} || '/' || {2} END"""
+    fields = [
+        *(c for c in COLUMNS.split(", ") if c != "direction"),
+        "language",
+        "file",
+        "handler",
+        scope.format("handler", "line", "end_line"),
+        scope.format('"sourceHandler"', '"sourceLine"', "source_end_line"),
+        '"sourceHandler"',
+        '"sourceLine"',
+        *own,
+    ]
+    nested = " || '~' || ".join(["ord", *(f"coalesce(CAST({x} AS VARCHAR), '')" for x in fields)])
     recursive_facts = _FACTS.replace("WITH ", "WITH RECURSIVE ", 1)
     return {
         "interface_flows": f"""{recursive_facts}, {_HANDLERS}, {_MAPPED}
@@ -344,13 +451,24 @@ def _flows() -> dict[str, str]:
   FROM mapped AS m JOIN ({facts_of}) AS f ON m.project = f.project AND m.file = f.file
   LEFT JOIN ({models}) AS x
   ON m.project = x.project AND m.file = x.file AND m.ord = x.ord""",
-        "file_flows": f"""{_FACTS}, found AS ({full()})
-  SELECT f.*, coalesce(i.interfaces, '') AS interfaces
+        "file_flows": f"""{recursive_facts}, {_HANDLERS}, {_MAPPED},
+whole_rows AS (SELECT m.*, type = 'realtime' AND protocol = 'socketio' AS socket,
+    coalesce(x.models, '') AS models FROM mapped AS m LEFT JOIN ({models}) AS x
+    ON m.project = x.project AND m.file = x.file AND m.ord = x.ord)
+  SELECT f.*, coalesce(i.interfaces, '') AS interfaces,
+    CASE WHEN s.file IS NOT NULL THEN s.models END AS interface_models,
+    CASE WHEN s.file IS NOT NULL THEN s.calls END AS interface_database,
+    CASE WHEN s.file IS NOT NULL THEN s.emits END AS interface_outputs
   FROM ({_per_file([*listed, "models", "database"])}) AS f
-  LEFT JOIN ({_listed("SELECT * FROM found",
-                      "ord || ':' || framework || ':' || coalesce(path, event)",
-                      "interfaces")}) AS i
-  ON f.project = i.project AND f.file = i.file""",
+  LEFT JOIN ({_listed("SELECT * FROM whole_rows", nested, "interfaces")}) AS i
+  ON f.project = i.project AND f.file = i.file
+  LEFT JOIN (SELECT DISTINCT project, file, models, calls, emits FROM whole_rows
+    WHERE NOT socket) AS s ON f.project = s.project AND f.file = s.file""",
+        "json_flows": f"""{recursive_facts}, {_HANDLERS}, {_MAPPED}, {_json_facts(used)}
+  SELECT {_json_object(_JSON_FLOW)} AS json
+  FROM mapped AS m JOIN flow ON m.project = flow.project AND m.file = flow.file
+  {_JSON_JOINS} LEFT JOIN json_models AS models
+  ON m.project = models.project AND m.file = models.file AND m.ord = models.ord""",
         "flow_counts": f"""{CODE}, found AS ({full()})
   SELECT project, coalesce(i.n, 0) AS "interfacesAnalyzed", f.n AS "filesAnalyzed"
   FROM (SELECT project, count(*) AS n FROM flow GROUP BY project) AS f
@@ -460,6 +578,9 @@ def _project() -> dict[str, str]:
         f"{_joined(f'list(technology) FILTER (category IN ({c}))')} AS {n}"
         for n, c in categories.items()
     )
+    technology_lists = ", ".join(
+        f"list_sort(list(technology) FILTER (category IN ({c}))) AS {n}" for n, c in categories.items()
+    )
     sections = ["languages", *categories, "runtimes", "packageManagers"]
     listed = ", ".join(
         f"""{_joined(f"list(DISTINCT value) FILTER (section = '{s}')")} AS "{s}\""""
@@ -481,6 +602,14 @@ def _project() -> dict[str, str]:
   coalesce(array_to_string(p.dependencies, '|'), '') AS dependencies
   FROM packages AS p JOIN roles AS r ON p.project = r.project AND p.path = r.path
   LEFT JOIN (SELECT project, path, {technologies} FROM used GROUP BY ALL) AS t
+  ON p.project = t.project AND p.path = t.path""",
+        "json_packages": f"""{_PROJECT} SELECT '{{"project":' || to_json(p.project) || ',"path":'
+  || to_json(p.path) || CASE WHEN p.name IS NULL THEN '' ELSE ',"name":' || to_json(p.name) END
+  || ',"role":' || to_json(r.role)
+  || {" || ".join(_json_list(n, f"t.{n}") for n in categories)}
+  || ',"dependencies":' || to_json(p.dependencies) || '}}' AS json
+  FROM packages AS p JOIN roles AS r ON p.project = r.project AND p.path = r.path
+  LEFT JOIN (SELECT project, path, {technology_lists} FROM used GROUP BY ALL) AS t
   ON p.project = t.project AND p.path = t.path""",
         "project_technologies": f"{_PROJECT} SELECT * FROM project_tech",
         "project_languages": f"""{_PROJECT} SELECT DISTINCT project, language FROM named

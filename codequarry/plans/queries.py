@@ -62,7 +62,15 @@ def _file_languages(files: DataFrame) -> DataFrame:
 
 
 def _decode_text(spark: SparkSession, tables: str) -> DataFrame:
-    raw = F.concat(F.unhex(F.lit("FF")), F.col("html").cast("binary"))
+    half = F.floor(F.length("html") / 2).cast("int")
+    # A byte that is none, a cut sequence, a surrogate, and a sequence cut by the end.
+    raw = F.concat(
+        F.unhex(F.lit("FF")),
+        F.substr("html", F.lit(1), half).cast("binary"),
+        F.unhex(F.lit("E282")),
+        F.substr("html", half + 1).cast("binary"),
+        F.unhex(F.lit("EDA08041C3")),
+    )
     pages = table(spark, tables, "pages").select(
         F.col("page_id").alias("project"), F.col("url").alias("path"), raw.alias("content")
     )
@@ -75,6 +83,38 @@ def _json_rows(files: DataFrame) -> DataFrame:
     return to_json_rows(inventory.file_info(files))
 
 
+def _ordered(values: Column, *fields: str) -> Column:
+    """An array of structs in the order of their fields joined."""
+    keyed = F.transform(
+        values, lambda v: F.struct(F.concat_ws(":", *[v[f] for f in fields]).alias("k"), v.alias("v"))
+    )
+    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+
+
+def _json_flows(files: DataFrame) -> DataFrame:
+    orders = {
+        **{f: ("source", "line") for f in ("services", "repositories", "models")},
+        "database": ("model", "operation"),
+        "externalApis": ("client", "method", "target", "line"),
+        "functions": ("name", "line"),
+    }
+    rows = flows.interface_flows(files)
+    return to_json_rows(
+        rows.withColumns(
+            {n: _ordered(F.col(n), *f) for n, f in orders.items()}
+            | {"outputs": F.array_sort("outputs")}
+        )
+    )
+
+
+def _json_packages(files: DataFrame) -> DataFrame:
+    rows = project.package_profiles(files)
+    lists = ("frameworks", "databases", "orms", "realtime", "ai", "testing")
+    return to_json_rows(
+        rows.select("project", "path", "name", "role", *[F.array_sort(c).alias(c) for c in lists], "dependencies")
+    )
+
+
 def _search_documents(spark: SparkSession, tables: str) -> DataFrame:
     return search.search_text(table(spark, tables, "documents"), "tion", "doc_id", "text")
 
@@ -154,15 +194,19 @@ def _interface_flows(files: DataFrame) -> DataFrame:
 
 def _file_flows(files: DataFrame) -> DataFrame:
     nested = flows.file_flows(files)
-    shown = F.transform(
-        "interfaces",
-        lambda f, i: F.concat_ws(
-            ":",
-            i,
-            f["interface"]["framework"],
-            F.coalesce(f["interface"]["path"], f["interface"]["event"]),
-        ),
-    )
+
+    def dotted(calls: Column) -> Column:
+        return _listed(F.transform(calls, lambda c: F.concat_ws(".", c["model"], c["operation"])))
+
+    def shown(f: Column) -> Column:
+        fields = [f["interface"][n] for n in (*flows.INTERFACE_FIELDS, "language", "file")]
+        for n in flows.PLACE_FIELDS:
+            scope = n in ("scope", "sourceScope")
+            parts = [f[n][x] for x in ("name", "type", "startLine", "endLine")]
+            fields.append(F.when(f[n].isNotNull(), F.concat_ws("/", *parts)) if scope else f[n])
+        fields += [_listed(f["models"], "source", "line"), dotted(f["database"]), _listed(f["outputs"])]
+        return F.concat_ws("~", f["ord"], *[F.coalesce(x.cast("string"), F.lit("")) for x in fields])
+
     names = (
         "functions",
         "services",
@@ -172,7 +216,14 @@ def _file_flows(files: DataFrame) -> DataFrame:
         "database",
     )
     return nested.select(
-        "project", "file", "language", *_fact_strings(*names), _listed(shown).alias("interfaces")
+        "project",
+        "file",
+        "language",
+        *_fact_strings(*names),
+        _listed(F.col("interfaceModels"), "source", "line").alias("interface_models"),
+        dotted(F.col("interfaceDatabase")).alias("interface_database"),
+        _listed(F.col("interfaceOutputs")).alias("interface_outputs"),
+        _listed(F.transform("interfaces", shown)).alias("interfaces"),
     )
 
 
@@ -242,6 +293,8 @@ def queries() -> dict[str, Query]:
         "scoped_scan": _over(lambda f: inventory.file_inventory(f, "docs/dist")),
         "decode_text": _decode_text,
         "json_rows": _over(_json_rows),
+        "json_flows": _over(_json_flows),
+        "json_packages": _over(_json_packages),
         "search_files": _over(lambda f: search.search_files(f, "Order")),
         "search_subtree": _over(lambda f: search.search_files(f, "await", "api/src")),
         "search_documents": _search_documents,

@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
-from codequarry.functions.text import strings_if
+from codequarry.functions.text import no_strings, strings_if
 
 FIELDS = ("type", "protocol", "framework", "role", "method", "path", "event", "direction")
 ROWS_TYPE = "array<struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">>"
@@ -129,8 +129,8 @@ def any_calls(paths: Column) -> Column:
     return F.transform(paths, lambda p: call(F.lit("ANY"), p))
 
 
-def grpc_rows(gate: Column, names: Column, fallback: Column | None = None) -> Column:
-    """gRPC services; ``grpc`` stands in where no name was found."""
+def grpc_rows(names: Column, fallback: Column | None = None) -> Column:
+    """gRPC services, none where ``names`` is null; ``grpc`` stands in where no name was found."""
     stand_in = F.size(names) == 0 if fallback is None else (F.size(names) == 0) & fallback
-    named = F.when(stand_in, F.array(F.lit("grpc"))).otherwise(names)
-    return event_rows("grpc", "gRPC", strings_if(gate, named))
+    named = F.when(names.isNull(), no_strings()).when(stand_in, F.array(F.lit("grpc")))
+    return event_rows("grpc", "gRPC", named.otherwise(names))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
-from codequarry.functions.text import join_paths, let, mentions, no_strings, strings_if
+from codequarry.functions.text import join_paths, let, mentions, strings_if
 from codequarry.rules.base import Source, call, event_rows, grpc_rows, http_rows
 
 # --- fixed values: patterns --------------------------------------------------
@@ -82,5 +82,5 @@ def signalr(src: Source) -> Column:
 def grpc(src: Source) -> Column:
     gate = mentions(src.text, "Grpc", "Base") & GRPC_EVIDENCE.found_in(src.text)
     names = F.concat(GRPC_BASE.all(src.text, 1), GRPC_OVERRIDE.all(src.text, 1))
-    found = F.when(gate, names).otherwise(no_strings())
-    return let(found, lambda n: grpc_rows(gate, n))
+    found = F.when(gate, names)
+    return let(found, lambda names: grpc_rows(names))

@@ -90,7 +90,7 @@ def grpc(src: Source) -> Column:
             | (F.size(names) > 0)
             | (mentions(src.text, "grpc.NewServer") & GRPC_NEW.found_in(src.text))
         )
-        return grpc_rows(gate, names)
+        return grpc_rows(F.when(gate, names))
 
     found = F.when(
         mentions(src.text, "Register"), GRPC_REGISTER.all(src.text, 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
-from codequarry.functions.text import join_paths, let, mentions, no_strings, strings_if
+from codequarry.functions.text import join_paths, let, mentions, strings_if
 from codequarry.rules.base import Source, call, event_rows, grpc_rows, http_rows
 
 # --- fixed values: patterns --------------------------------------------------
@@ -155,5 +155,5 @@ def grpc(src: Source) -> Column:
         GRPC_BASE.all(text, 1),
         lambda n: F.regexp_replace(F.substring_index(n, ".", -1), r"ImplBase\z", ""),
     )
-    found = F.when(gate, F.concat(services, GRPC_METHOD.all(text, 1))).otherwise(no_strings())
-    return let(found, lambda names: grpc_rows(gate, names))
+    found = F.when(gate, F.concat(services, GRPC_METHOD.all(text, 1)))
+    return let(found, lambda names: grpc_rows(names))

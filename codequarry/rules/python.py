@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
-from codequarry.functions.text import join_paths, let, mentions, no_strings, strings_if
+from codequarry.functions.text import join_paths, let, mentions, strings_if
 from codequarry.rules.base import Source, any_calls, call, event_rows, grpc_rows, http_rows
 
 # --- fixed values: patterns --------------------------------------------------
@@ -156,5 +156,5 @@ def django_channels(src: Source) -> Column:
 def grpc(src: Source) -> Column:
     gate = mentions(src.text, "grpc", "Servicer_to_server") & GRPC_EVIDENCE.found_in(src.text)
     names = F.concat(GRPC_ADD_SERVICER.all(src.text, 1), GRPC_CLASS.all(src.text, 1))
-    found = F.when(gate, names).otherwise(no_strings())
-    return let(found, lambda n: grpc_rows(gate, n, fallback=GRPC_SERVER.found_in(src.text)))
+    found = F.when(gate, names)
+    return let(found, lambda n: grpc_rows(n, fallback=GRPC_SERVER.found_in(src.text)))

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from codequarry.functions.patterns import Rx
 from codequarry.functions.text import (
     let,
-    matches_with_start,
+    matches_with_window,
     mentions,
-    no_strings,
     rooted,
     strings_if,
 )
@@ -35,6 +34,7 @@ WARP_PATH = Rx(r"""warp::path!?\s*\(\s*["']([^"']+)["']\s*\)""")
 WARP_METHOD = Rx(r"""warp::(get|post|put|patch|delete|head|options)\s*\(""", ignore_case=True)
 
 WARP_WINDOW = (200, 300)
+WARP_SHORTEST = len('warp::path("x")')
 
 GRPC_EVIDENCE = Rx(r"""tonic::|tonic_build|\.add_service\s*\(""")
 GRPC_SERVICE = Rx(r"""\.add_service\s*\(\s*([A-Za-z_]\w*)Server::new""")
@@ -69,33 +69,32 @@ def rocket(src: Source) -> Column:
     return routes("Rocket", gate, src.text, ATTRIBUTE_ROUTE)
 
 
-def nearby_calls(text: Column, path: Rx, method: Rx, window: tuple[int, int]) -> Column:
+def nearby_calls(
+    text: Column, path: Rx, method: Rx, window: tuple[int, int], shortest: int
+) -> Column:
     """A call per path and method named near the path, else ANY.
 
     The window is so many characters before and from the start of the match.
     """
-    before, after = window
 
     def one(found: Column) -> Column:
-        begin = F.greatest(found["start"] - before, F.lit(0))
-        near = F.substr(text, begin + 1, found["start"] + after - begin)
         named = let(
-            F.transform(method.all(near, 1), F.upper),
+            F.transform(method.all(found["near"], 1), F.upper),
             lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(F.lit("ANY"))),
         )
         own = rooted(path.part(found["match"], 1))
         return let(own, lambda p: F.transform(named, lambda m: call(m, p)))
 
-    return F.flatten(F.transform(matches_with_start(text, path), one))
+    return F.flatten(F.transform(matches_with_window(text, path, window, shortest), one))
 
 
 def warp(src: Source) -> Column:
     gate = mentions(src.text, WARP_EVIDENCE)
-    calls = nearby_calls(src.text, WARP_PATH, WARP_METHOD, WARP_WINDOW)
+    calls = nearby_calls(src.text, WARP_PATH, WARP_METHOD, WARP_WINDOW, WARP_SHORTEST)
     return http_rows("Warp", strings_if(gate, calls))
 
 
 def grpc(src: Source) -> Column:
     gate = mentions(src.text, "tonic", "add_service") & GRPC_EVIDENCE.found_in(src.text)
-    found = F.when(gate, GRPC_SERVICE.all(src.text, 1)).otherwise(no_strings())
-    return let(found, lambda names: grpc_rows(gate, names))
+    found = F.when(gate, GRPC_SERVICE.all(src.text, 1))
+    return let(found, lambda names: grpc_rows(names))

@@ -20,6 +20,7 @@ AKKA_EVIDENCE = "akka.http.scaladsl"
 AKKA_PATH = Rx(r"""\bpath(?:Prefix)?\s*\(\s*["']([^"']+)["']\s*\)""")
 AKKA_METHOD = Rx(r"""\b(get|post|put|patch|delete|options|head)\s*\{""", ignore_case=True)
 AKKA_WINDOW = (120, 300)
+AKKA_SHORTEST = len('path("x")')
 # -----------------------------------------------------------------------------
 
 
@@ -42,5 +43,5 @@ def play(src: Source) -> Column:
 
 def akka_http(src: Source) -> Column:
     gate = mentions(src.text, AKKA_EVIDENCE)
-    calls = nearby_calls(src.text, AKKA_PATH, AKKA_METHOD, AKKA_WINDOW)
+    calls = nearby_calls(src.text, AKKA_PATH, AKKA_METHOD, AKKA_WINDOW, AKKA_SHORTEST)
     return http_rows("Akka HTTP", strings_if(gate, calls))

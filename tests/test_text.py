@@ -9,13 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
-from codequarry.functions.text import (
-    brace_block,
-    extension,
-    join_paths,
-    matches_with_line,
-    matches_with_start,
-)
+from codequarry.functions.text import extension, join_paths, matches_with_line
 from codequarry.operators import facts, flows, mapping
 from codequarry.rules import (
     csharp,
@@ -74,19 +68,8 @@ def closing_brace(text: str) -> str:
     return ""
 
 
-def test_brace_blocks(spark):
-    rng = random.Random(7)
-    pieces = ["{", "}", "{", "}", "'", '"', "`", "//", "/*", "*/", "\\", "\n", "a", "/", "*", " "]
-    values = ["{" + "".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(1500)]
-    values += ["{" * 30 + "x" + "}" * 30 + "rest", "{" * 30 + "}" * 29, "{'" + "x" * 80_000 + "'}}"]
-    rows = texts(spark, values).select("i", brace_block(F.col("t")).alias("b")).collect()
-    wrong = [(values[r.i][:80], r.b[:80]) for r in rows if r.b != closing_brace(values[r.i])]
-    assert wrong[:3] == []
-    assert sum(bool(r.b) for r in rows) > 300
-
-
 @pytest.mark.parametrize("mark", ["", "\x01"])
-def test_lines_and_starts(spark, mark):
+def test_lines_of_matches(spark, mark):
     rng = random.Random(3)
     pieces = ["go (", "go\n(", "go(", "\n", "xgo(", "é", " ", "(", mark]
     values = ["".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(300)]
@@ -96,7 +79,6 @@ def test_lines_and_starts(spark, mark):
         .select(
             "i",
             matches_with_line(F.col("t"), pattern, lambda m: m).alias("lines"),
-            matches_with_start(F.col("t"), pattern).alias("starts"),
         )
         .collect()
     )
@@ -104,7 +86,6 @@ def test_lines_and_starts(spark, mark):
         found = list(re.finditer(r"\bgo\s*\(", values[r.i], re.ASCII))
         lines = [f"{values[r.i].count(chr(10), 0, m.start()) + 1}:{m[0]}" for m in found]
         assert r.lines == lines
-        assert [(s.match, s.start) for s in r.starts] == [(m[0], m.start()) for m in found]
 
 
 def test_all_patterns_compile(spark):
@@ -138,7 +119,7 @@ def test_faster_patterns_find_the_same(spark):
     plain = [Rx(p.source, p.ignore_case) for p in fast]
     columns = [
         F.struct(
-            matches_with_start(F.col("t"), p).alias("a"), p.all(F.col("t"), 1).alias("b")
+            matches_with_line(F.col("t"), p, lambda m: m).alias("a"), p.all(F.col("t"), 1).alias("b")
         )
         for p in (*fast, *plain)
     ]
