@@ -5,6 +5,8 @@ query then reads that table and runs to the end without collecting anything.
 
     BENCH_SF_DIR  directory of tables (default /root/testdata/sf0.1)
     BENCH_CPUS    local cores (default 8)
+    BENCH_WORK    folder that all executors share, for the corpus and stored facts
+                  (default: a temporary one, for local runs)
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators import facts, flows, interfaces, inventory, mapping, project, search
+from codequarry.operators.stored import read_facts, write_facts
 from codequarry.sources.corpus import read_corpus, write_corpus
 from codequarry.sources.sample import sample_files
 
@@ -42,6 +45,9 @@ QUERIES = {
     "project_summary": project.project_summary,
 }
 
+# These start from stored facts as well as from source files.
+FROM_FACTS = ("map_interfaces", "interface_flows", "file_flows", "flow_counts")
+
 
 def run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
@@ -66,7 +72,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
-    with tempfile.TemporaryDirectory(prefix="bench-") as folder:
+    shared = os.environ.get("BENCH_WORK")
+    with tempfile.TemporaryDirectory(prefix="bench-", dir=shared) as folder:
         corpus = os.path.join(folder, "corpus")
         began = time.perf_counter()
         write_corpus(sample_files(spark, tables), corpus)
@@ -77,6 +84,15 @@ def main() -> None:
             began = time.perf_counter()
             run(query(files))
             seconds[name] = time.perf_counter() - began
+        stored = os.path.join(folder, "facts")
+        began = time.perf_counter()
+        write_facts(files, stored)
+        seconds["write_facts"] = time.perf_counter() - began
+        known = read_facts(spark, stored)
+        for name in FROM_FACTS:
+            began = time.perf_counter()
+            run(QUERIES[name](known))
+            seconds[f"{name}_from_facts"] = time.perf_counter() - began
         spark.stop()
     print(
         json.dumps(

@@ -48,6 +48,28 @@ def as_source_files(df: DataFrame) -> DataFrame:
     )
 
 
+def from_binary_files(df: DataFrame, root: str, project: str | None = None) -> DataFrame:
+    """Source files from rows of Spark's ``binaryFile`` format, at any store Spark reads.
+
+    Paths are taken relative to ``root``. Their first part is the project, unless all files
+    are of one ``project``. Spark's file sources pass over names that start with ``.`` or
+    ``_``; where these matter, list and read with ``sources/tree.py``.
+    """
+    start = root.rstrip("/") + "/"
+    placed = df.select("content", "path", F.instr("path", start).alias("at")).where("at > 0")
+    below = placed.select("content", F.substr("path", F.col("at") + len(start)).alias("below"))
+    if project is not None:
+        return as_source_files(
+            below.select(F.lit(project).alias("project"), F.col("below").alias("path"), "content")
+        )
+    owned = below.where(F.col("below").contains("/")).select(
+        F.substring_index("below", "/", 1).alias("project"),
+        F.substr("below", F.instr("below", "/") + 1).alias("path"),
+        "content",
+    )
+    return as_source_files(owned)
+
+
 def kind(path: Column) -> Column:
     return F.coalesce(
         F.when(basename(path) == "package.json", PACKAGE_KIND),
@@ -57,19 +79,21 @@ def kind(path: Column) -> Column:
 
 
 def write_corpus(
-    files: DataFrame, target: str, mode: str = "errorifexists", rebalance: bool = False
+    files: DataFrame, target: str, mode: str = "errorifexists", rebalance: bool = True
 ) -> None:
-    """Write source files as Parquet, one directory per kind.
+    """Write source files as Parquet, one directory per kind, files ordered by (project, path).
 
-    By default nothing is shuffled and each task writes the kinds it holds. With
-    ``rebalance`` one shuffle gathers each kind into files of the advisory
-    partition size, splitting kinds that are large, which spares later scans
-    many small files.
+    One shuffle gathers each kind into files of the advisory partition size,
+    splitting kinds that are large, which spares later scans many small files.
+    Without ``rebalance`` nothing is shuffled and each task writes the kinds it
+    holds. Within a file rows are in order, so a filter on a project or a
+    subtree skips the row groups that lie outside of it.
     """
     laid_out = files.withColumn("kind", kind(F.col("path")))
     if rebalance:
         laid_out = laid_out.hint("rebalance", "kind")
-    laid_out.write.partitionBy("kind").mode(mode).parquet(target)
+    ordered = laid_out.sortWithinPartitions("kind", "project", "path")
+    ordered.write.partitionBy("kind").mode(mode).parquet(target)
 
 
 def read_corpus(spark: SparkSession, source: str) -> DataFrame:
