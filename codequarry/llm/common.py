@@ -63,6 +63,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return places.select(*(F.col(f"_{df.columns.index(n)}").alias(n) for n in names))
 
 
+def distinct_names(df: DataFrame, *needed: str, without: tuple[str, ...] = ()) -> list[str]:
+    """Columns that an operator passes on: of names alike but for case the needed one, else the
+    first; none of `without`."""
+    taken = {n.lower() for n in (*needed, *without)}
+    names = []
+    for n in dict.fromkeys(df.columns):
+        if n in needed or n.lower() not in taken:
+            names.append(n)
+            taken.add(n.lower())
+    return names
+
+
 def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(row_key, doc_id, text): a unique key by row, in the order of doc_id with nulls last.
 

@@ -55,7 +55,7 @@ class Ftrl:
 
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         w, bias = self.weights(), self._bias()
-        return np.array([v @ w[at] + bias for at, v in rows]).reshape(len(rows), -1)
+        return np.array([v @ w[at] + bias for at, v in rows]).reshape(len(rows), self.z.shape[1])
 
     def parameters(self) -> tuple[np.ndarray, np.ndarray]:
         return self.weights()[:-1].astype(np.float32), self._bias()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import Scratch
+from codequarry.llm.common import Scratch, distinct_names, pick
 
 # Sources up to which rates are broadcast (counted first); beyond it they are joined.
 BROADCAST_SOURCES = 100_000
@@ -68,7 +68,8 @@ def mix_sources(
 
     The draw inverts the Poisson distribution whose mean is the source's rate at a uniform
     number hashed from (seed, doc_id), so a rerun or a lost executor changes nothing. Added
-    columns: rate, n_copies, copy (from 1), shuffle_key; columns of these names are replaced.
+    columns: rate, n_copies, copy (from 1), shuffle_key; columns of these names are replaced, and
+    of names alike but for case one stays.
     Rows go to partitions by their random key and are sorted by it there.
 
     Null source counts as source ''; null text as empty; null doc_id is drawn like 'null';
@@ -76,10 +77,8 @@ def mix_sources(
     A hot source costs nothing: rates are aggregated in tasks first and no row is grouped.
     """
     scratch = Scratch(docs.sparkSession)
-    names = [c for c in dict.fromkeys(docs.columns) if c.lower() not in ADDED]
-    docs = docs.toDF(*(f"_{i}" for i in range(len(docs.columns)))).select(
-        *(F.col(f"_{docs.columns.index(c)}").alias(c) for c in names)
-    )
+    names = distinct_names(docs, "doc_id", "text", "source", without=ADDED)
+    docs = pick(docs, *names)
     by_source = scratch.save(rates(docs, power, epochs, weights), "rates")
     whole = F.greatest(F.floor("rate") - DRAWN_RATE, F.lit(0))
     by_source = by_source.select(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.llm.common import Scratch, keyed, pick
+from codequarry.llm.common import Scratch, distinct_names, keyed, pick
 
 KINDS = ("email", "ip", "card", "phone")
 # Words to either side of an entity that count as said together with it.
@@ -296,11 +296,11 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     """`docs` with text where base spans are generalised to their kind and terms are removed.
 
     `[email]`, `[ip]`, `[card]` and `[phone]` stand for base spans; a longer span swallows
-    those that overlap it. All other columns stay. Null texts stay null. Rows are joined with
+    those that overlap it. All other columns stay (of names alike but for case one). Null texts stay null. Rows are joined with
     their spans by a key, so texts without any are only passed on. Cases as in `find`.
     """
     scratch = Scratch(docs.sparkSession)
-    names = list(dict.fromkeys(docs.columns))
+    names = distinct_names(docs, "doc_id", "text")
     whole = pick(docs, *names).select(F.struct(*names).alias("row"), "doc_id", "text")
     unique = keyed(whole, scratch)
     if "keyed" in scratch.saved:  # ids are not keys: key the whole rows instead

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.llm.common import Scratch, add_fields, mix, pick, with_columns, word_hashes
+from codequarry.llm.common import Scratch, add_fields, distinct_names, mix, pick, with_columns, word_hashes
 from codequarry.llm.language import labelled_sample
 from codequarry.llm.linear import Ftrl, softmax, temperature
 
@@ -239,7 +239,8 @@ def _wanted(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` with quality_score (0 to 1) and accepted; columns of these names are replaced.
+    """`docs` with quality_score (0 to 1) and accepted; columns of these names are replaced,
+    and of names alike but for case one stays.
 
     Trained on `labels` (doc_id, quality, toxic): good documents are of quality 1 and not
     toxic. Two views, hashed words of the text and facts of the page (source, language, length,
@@ -253,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     an empty table gives an empty result. No text is shuffled.
     """
     Scratch(docs.sparkSession)  # sets the size of batches
-    names = [c for c in dict.fromkeys(docs.columns) if c.lower() not in ("quality_score", "accepted")]
+    names = distinct_names(docs, *COLUMNS, without=("quality_score", "accepted"))
     docs = pick(docs, *names)
     model = train(pick(docs, *COLUMNS), labels)
     if model is None:
