@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +24,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def kept(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Build a column over named columns once and use it again.
+
+    A large column is ten thousand calls into the JVM, which take seconds. It names the
+    columns it reads, so it fits every table that has them.
+    """
+    built: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def found(*args) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return found
+
+
 def mentions(text: Column, *words: str) -> Column:
     """Plain substring test, used to spare the regular expression behind it."""
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])

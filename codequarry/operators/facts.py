@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.languages import flow_language
 from codequarry.functions.patterns import Rx
-from codequarry.functions.text import let, matches_with_line, mentions, no_strings, strings_if
+from codequarry.functions.text import (
+    kept,
+    let,
+    matches_with_line,
+    mentions,
+    no_strings,
+    strings_if,
+)
 from codequarry.sources.corpus import CODE_KINDS, only_kinds, scan
 
 # --- fixed values: patterns, verbs and words ---------------------------------
@@ -295,9 +302,15 @@ def file_facts(text: Column, lower: Column, language: Column) -> Column:
     )
 
 
+@kept
+def facts_of_file() -> Column:
+    """``file_facts`` of the columns ``content``, ``lower`` and ``language``."""
+    return file_facts(F.col("content"), F.col("lower"), F.col("language"))
+
+
 def analyze_files(files: DataFrame, path: str = ".") -> DataFrame:
     """One row per file with all its facts, from a single scan."""
-    facts = file_facts(F.col("content"), F.col("lower"), F.col("language"))
+    facts = facts_of_file()
     return flow_files(files, path).select("project", "file", "language", facts.alias("f")).select(
         "project", "file", "language", "f.*"
     )

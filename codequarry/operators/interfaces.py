@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.languages import interface_language
+from codequarry.functions.text import kept, let
 from codequarry.rules import DETECTORS
 from codequarry.rules.base import FIELDS, Detector, Source, no_rows
 from codequarry.rules.javascript import EXPRESS_ROUTE
@@ -42,19 +43,34 @@ def _by_language(detectors: Iterable[Detector]) -> dict[tuple[Detector, ...], li
     return groups
 
 
-def file_interfaces(
-    language: Column, source: Source, detectors: Iterable[Detector] = DETECTORS
+@kept
+def _rows_of(detector: Detector, one_direction: bool) -> Column:
+    source = Source(F.col("file"), F.col("content"), F.col("lower"), one_direction)
+    return detector.rows(source)
+
+
+def _file_interfaces(
+    language: Column, one_direction: bool, detectors: Iterable[Detector]
 ) -> Column:
     """All interfaces of a file as one array, in rule order then text order."""
     rows = F
     for applicable, languages in _by_language(detectors).items():
-        found = [d.rows(source) for d in applicable]
+        found = [_rows_of(d, one_direction or not d.directed) for d in applicable]
         rows = rows.when(
             language.isin(*languages), F.concat(*found) if len(found) > 1 else found[0]
         )
     return no_rows() if rows is F else rows.otherwise(no_rows())
 
 
+@kept
+def found_interfaces(
+    language: str, one_direction: bool, detectors: tuple[Detector, ...] = DETECTORS
+) -> Column:
+    """All interfaces of a file, from its columns ``file``, ``content``, ``lower`` and the
+    language that the named column holds."""
+    return let(F.col(language), lambda x: _file_interfaces(x, one_direction, detectors))
+
+
 def code_files(
     files: DataFrame, path: str = ".", detectors: Iterable[Detector] = DETECTORS
 ) -> DataFrame:
@@ -73,14 +89,10 @@ def code_files(
     )
 
 
-def _source(one_direction: bool) -> Source:
-    return Source(F.col("file"), F.col("content"), F.col("lower"), one_direction)
-
-
 def _interfaces(
     files: DataFrame, path: str, detectors: Iterable[Detector], one_direction: bool
 ) -> DataFrame:
-    found = file_interfaces(F.col("language"), _source(one_direction), detectors)
+    found = found_interfaces("language", one_direction, tuple(detectors))
     return (
         code_files(files, path, detectors)
         .select("project", "file", "language", F.posexplode(found).alias("ord", "row"))
@@ -105,7 +117,7 @@ def interfaces_full(files: DataFrame, path: str = ".") -> DataFrame:
 
 def interface_count(files: DataFrame, path: str = ".") -> DataFrame:
     """Number of discovered interfaces per project; sums per file before grouping."""
-    found = file_interfaces(F.col("language"), _source(True))
+    found = found_interfaces("language", True)
     return (
         code_files(files, path)
         .select("project", F.size(found).cast("bigint").alias("n"))

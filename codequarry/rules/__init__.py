@@ -24,7 +24,7 @@ _JVM = ("java", "kotlin")
 
 DETECTORS = (
     Detector("express", _JS, javascript.express),
-    Detector("socketio-js", _JS, javascript.socketio),
+    Detector("socketio-js", _JS, javascript.socketio, directed=True),
     Detector("fastify", _JS, javascript.fastify),
     Detector("nestjs", _JS, javascript.nestjs),
     Detector("websocket-js", _JS, javascript.websocket),

@@ -44,6 +44,8 @@ class Detector:
     name: str
     languages: tuple[str, ...]
     rows: Callable[[Source], Column]
+    # Do the rows depend on whether one direction by role is asked for?
+    directed: bool = False
 
 
 def no_rows() -> Column:
