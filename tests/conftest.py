@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 
 from codequarry.sources.corpus import SCHEMA
+from codequarry.workers import importable
 
 
 @pytest.fixture(scope="session")
@@ -18,7 +19,7 @@ def spark() -> SparkSession:
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    return importable(session)
 
 
 @pytest.fixture(scope="session")
