@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codequarry.workers import importable
+
 FOLDER = "spark.checkpoint.dir"
 # Arrow batches handed to Python tasks: a few MB of text, however long the documents are.
 BATCHES = {
@@ -29,7 +31,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        conf = spark.sparkContext.getConf()
+        conf = importable(spark).sparkContext.getConf()
         folder = conf.get(FOLDER) or spark.conf.get(FOLDER, None)
         if not folder:
             if not spark.sparkContext.master.startswith("local["):
