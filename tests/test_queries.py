@@ -9,6 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import differences
+from codequarry.plans import oracle
+from codequarry.plans import queries as registered
 
 TABLES = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
@@ -20,6 +22,7 @@ CHECKED = [
     "search_files", "search_pages", "file_languages", "iface_nestjs", "iface_spring",
     "iface_warp", "discover_interfaces", "analyze_files", "socket_handlers", "map_interfaces",
     "interface_flows", "file_flows", "flow_counts", "package_profiles", "project_profiles",
+    "json_flows", "json_packages",
 ]
 
 
@@ -32,7 +35,8 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(SQL)
+    assert set(registered.queries()) == set(oracle.oracle_sql())
+    assert set(registered.queries()) <= set(entry.queries()) and set(SQL) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", CHECKED)
