@@ -78,7 +78,7 @@ def main() -> None:
     with tempfile.TemporaryDirectory(prefix="bench-", dir=shared) as folder:
         corpus = os.path.join(folder, "corpus")
         began = time.perf_counter()
-        write_corpus(sample_files(spark, tables), corpus)
+        write_corpus(sample_files(spark, tables), corpus, row_group_bytes=4 << 20)
         seconds["write_corpus"] = time.perf_counter() - began
         files = read_corpus(spark, corpus)
         count, size = files.agg(F.count("*"), F.sum("size")).first()

@@ -79,7 +79,11 @@ def kind(path: Column) -> Column:
 
 
 def write_corpus(
-    files: DataFrame, target: str, mode: str = "errorifexists", rebalance: bool = True
+    files: DataFrame,
+    target: str,
+    mode: str = "errorifexists",
+    rebalance: bool = True,
+    row_group_bytes: int = 16 << 20,
 ) -> None:
     """Write source files as Parquet, one directory per kind, files ordered by (project, path).
 
@@ -87,13 +91,15 @@ def write_corpus(
     splitting kinds that are large, which spares later scans many small files.
     Without ``rebalance`` nothing is shuffled and each task writes the kinds it
     holds. Within a file rows are in order, so a filter on a project or a
-    subtree skips the row groups that lie outside of it.
+    subtree skips the row groups that lie outside of it. A scan is split by row
+    groups; as its work is CPU, these are smaller than is usual.
     """
     laid_out = files.withColumn("kind", kind(F.col("path")))
     if rebalance:
         laid_out = laid_out.hint("rebalance", "kind")
     ordered = laid_out.sortWithinPartitions("kind", "project", "path")
-    ordered.write.partitionBy("kind").mode(mode).parquet(target)
+    writer = ordered.write.partitionBy("kind").mode(mode)
+    writer.option("parquet.block.size", row_group_bytes).parquet(target)
 
 
 def read_corpus(spark: SparkSession, source: str) -> DataFrame:

@@ -152,12 +152,7 @@ def test_a_subtree_filter_skips_row_groups(spark, source_files, tmp_path):
     import pyarrow.parquet as pq
 
     names = [(f"p{k % 3}", f"{'abcdef'[k % 6]}/f{k:05}.js", "x" * 500) for k in range(6000)]
-    spark.conf.set("spark.sql.sources.default", "parquet")
-    spark.sparkContext._jsc.hadoopConfiguration().setInt("parquet.block.size", 64 * 1024)
-    try:
-        write_corpus(source_files(*names).repartition(4), str(tmp_path / "c"))
-    finally:
-        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    write_corpus(source_files(*names).repartition(4), str(tmp_path / "c"), row_group_bytes=64 << 10)
     groups = wanted = 0
     for file in ds.dataset(tmp_path / "c", format="parquet").files:
         meta = pq.ParquetFile(file).metadata
