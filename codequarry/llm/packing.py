@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,12 +16,18 @@ from pyspark.sql import types as T
 
 from codequarry.llm.common import Scratch, add_fields, pick, rank_within, with_columns
 
-# Words whose ids a task keeps; it forgets them all when there are more.
+# Stretches and words whose ids a task keeps in each of two generations.
+STRETCHES_KEPT = 200_000
 WORDS_KEPT = 300_000
-LONGEST_KEPT = 64
+LONGEST_KEPT = 48
 # Bits of a rank within a length; the length takes the bits above.
 RANK_BITS = 44
 
+# Stretches that fall apart by themselves: a word of these letters, then marks of one kind.
+# Lower case of these letters is one letter each, and no mark joins a word or a contraction.
+_LETTERS = "a-z\u00e0-\u00f6\u00f8-\u00fe"
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
+
 PIECE = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -32,37 +39,113 @@ PIECE = T.StructType(
 )
 
 
+class Recent:
+    """What was looked up lately: a generation in use and the one before it."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.new[key] = found
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and no token spans it, so texts are encoded by the
-    stretches between blanks and line ends, and those met before are looked up.
+    stretches between blanks and line ends, and those met before are looked up. A new stretch
+    that is a plain word with marks behind it is put together from the two, which its own
+    rules would split it into; only new words reach the tokenizer's model. All others are
+    encoded whole. Ids fit 16 bits while kept, if the vocabulary does.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.stretches, self.words = Recent(STRETCHES_KEPT), Recent(WORDS_KEPT)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {
+            c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 255) if not chr(c).isspace()
+        }
+        self.plain = self._splits_as_stated()
+
+    def _splits_as_stated(self) -> bool:
+        """Does this tokenizer take plain words and marks apart as assumed here?"""
+        tried = ("abc", "\u00e9t\u00e9", "word", "a", "x,", "abc...", "thee!?", "na\u00efve;-)")
+        return all(
+            self._whole([t.upper(), t]) == [self._by_parts(t)] * 2 for t in tried
+        )
+
+    def _whole(self, stretches: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in coded]
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            tokens = self.tokenizer.model.tokenize(word.translate(self.signs))
+            ids = np.array([t.id for t in tokens], self.kind).tobytes()
+            if len(word) <= LONGEST_KEPT:
+                self.words.put(word, ids)
+        return ids
+
+    def _by_parts(self, stretch: str) -> bytes | None:
+        parts = _PLAIN.fullmatch(stretch.lower())
+        if parts is None or len(parts[0]) != len(stretch):
+            return None
+        word, marks = parts.groups()
+        return self._word(word) + self._word(marks) if marks else self._word(word)
+
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        found, rest = {}, []
+        for stretch in new:
+            ids = self._by_parts(stretch) if self.plain else None
+            if ids is None:
+                rest.append(stretch)
+            else:
+                found[stretch] = ids
+        if rest:
+            found.update(zip(rest, self._whole(rest), strict=True))
+        return found
 
     def __call__(self, text: str) -> bytes:
         for blank in "\n\t\r":
             if blank in text:
                 text = text.replace(blank, " ")
         words = text.split(" ")
-        found = list(map(self.known.get, words))
+        found = list(map(self.stretches.new.get, words))
         if None in found:
-            new = [w for w, ids in dict(zip(words, found, strict=True)).items() if ids is None]
-            if len(self.known) > WORDS_KEPT:
-                self.known = {"": b""}
-            coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            fresh = {
-                w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, coded, strict=True)
-            }
-            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_KEPT)
+            fresh, new = {}, []
+            for w in {w for w, ids in zip(words, found, strict=True) if ids is None}:
+                ids = self.stretches.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    fresh[w] = ids
+            for w, ids in self._encoded(new).items():
+                fresh[w] = ids
+                if len(w) <= LONGEST_KEPT:
+                    self.stretches.put(w, ids)
             found = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        return b"".join(found)
+        data = b"".join(found)
+        if self.kind == "<u2":
+            data = np.frombuffer(data, "<u2").astype("<u4").tobytes()
+        return data
 
 
 _encoders: dict[str, Encoder] = {}
