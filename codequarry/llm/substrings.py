@@ -16,7 +16,9 @@ from codequarry.llm.common import Scratch, keyed, window_hashes, word_hashes
 # Perfect difference covers (every shift modulo the period is a difference).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
 # Windows gathered before a task looks for repeats among its own.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 20
+# Settled rows go to any task: their key is the document's, scrambled.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -66,9 +68,12 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
         sent = ~same
         kind = np.where(sent, repeat.astype(np.int8), np.int8(2))
         keep = sent | ~again
+        # In the order of documents, neighbours in a shuffle have much in common.
+        keep = np.flatnonzero(keep)
+        keep = keep[np.argsort(order[keep])]
         h, d, kind = h[keep], d[keep], kind[keep]
-        key = np.where(kind == 2, h ^ (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
-        return _batch({"key": key.view(np.int64), "kind": kind, "anchor": h.view(np.int64), "doc_id": d})
+        key = np.where(kind == 2, h ^ (d.astype(np.uint64) * _SPREAD), h)
+        return _batch({"key": key.view(np.int64), "kind": kind, "doc_id": d})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, held = [], [], 0
@@ -89,38 +94,43 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sorted by (key, kind); a row waits for the next batch to know its neighbour.
-        last: tuple | None = None  # key, anchor, doc_id, whether it is known to repeat
+        last: tuple | None = None  # key, doc_id, kind: 1 once it is known to repeat
+
+        def marks(key: np.ndarray, kind: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            spread = np.where(kind == 2, ids.astype(np.uint64) * _SPREAD, np.uint64(0))
+            return _batch({"doc_id": ids, "anchor": (key.view(np.uint64) ^ spread).view(np.int64)})
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column("key").to_numpy()
             kind = batch.column("kind").to_numpy()
-            anchor = batch.column("anchor").to_numpy()
             ids = batch.column("doc_id").to_numpy()
             if last is not None:
-                key = np.concatenate(([last[0]], key))
-                kind = np.concatenate((np.array([last[3]], np.int8), kind))
-                anchor = np.concatenate(([last[1]], anchor))
-                ids = np.concatenate(([last[2]], ids))
+                key, ids, kind = (
+                    np.concatenate((x, y)) for x, y in zip(last, (key, ids, kind), strict=True)
+                )
             same = np.concatenate(([False], key[1:] == key[:-1]))
             after = np.concatenate((same[1:], [False]))
             hit = same | after | (kind > 0)
-            last = (key[-1], anchor[-1], ids[-1], np.int8(hit[-1]) if kind[-1] < 2 else np.int8(2))
+            known = np.maximum(kind[-1:], hit[-1:].astype(np.int8))
+            last = (key[-1:].copy(), ids[-1:].copy(), known)
             hit[-1] = False
-            yield _batch({"doc_id": ids[hit], "anchor": anchor[hit]})
-        if last is not None and last[3]:
-            yield _batch({"doc_id": np.array([last[2]]), "anchor": np.array([last[1]])})
+            yield marks(key[hit], kind[hit], ids[hit])
+        if last is not None and last[2][0]:
+            yield marks(last[0], last[2], last[1])
 
-    sent = docs.mapInArrow(scan, "key long, kind byte, anchor long, doc_id long")
+    sent = docs.mapInArrow(scan, "key long, kind byte, doc_id long")
     sorted_ = sent.repartition("key").sortWithinPartitions("key")
     return sorted_.mapInArrow(meet, "doc_id long, anchor long")
 
 
 def later_windows(marked: DataFrame, window: int) -> DataFrame:
-    """(doc_id, at): windows whose words also start earlier; from (doc_id, text, anchors).
+    """(doc_id, at, n): windows whose words also start earlier, n of them from `at` on; from
+    (doc_id, text, anchors).
 
-    A window counts if a marked anchor lies in it. It is known by two 64-bit hashes of all
-    its words. A task keeps the earliest of equal windows and settles the others itself; the
+    A window counts if a marked anchor lies in it. It is known by 96 bits of hashes of all its
+    words. A task keeps the earliest of equal windows and settles the others itself; the
     earliest ones meet by hash in order of (doc_id, start), where all but the first go.
     """
     _, _, length = cover_for(window)
@@ -130,14 +140,21 @@ def later_windows(marked: DataFrame, window: int) -> DataFrame:
         order = np.lexsort((s, d, b, a))
         a, b, d, s = a[order], b[order], d[order], s[order]
         later = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
-        key = np.where(later, d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), a)
+        # Settled windows that follow each other are one row: b is how many there are.
+        gone = np.lexsort((s[later], d[later]))
+        gd, gs = d[later][gone], s[later][gone]
+        first, size = _runs(
+            np.concatenate(([False], (gd[1:] == gd[:-1]) & (gs[1:] == gs[:-1] + 1)))
+        )
+        one = np.flatnonzero(~later)
+        one = one[np.argsort(order[one])]
         return _batch(
             {
-                "a": key.view(np.int64),
-                "b": np.where(later, np.uint64(0), b).view(np.int64),
-                "later": later,
-                "doc_id": d,
-                "at": s.astype(np.int32),
+                "a": np.concatenate((a[one], gd[first].astype(np.uint64) * _SPREAD)).view(np.int64),
+                "b": np.concatenate((b[one].astype(np.uint32).view(np.int32), size.astype(np.int32))),
+                "later": np.arange(len(one) + len(first)) >= len(one),
+                "doc_id": np.concatenate((d[one], gd[first])),
+                "at": np.concatenate((s[one], gs[first])).astype(np.int32),
             }
         )
 
@@ -163,7 +180,7 @@ def later_windows(marked: DataFrame, window: int) -> DataFrame:
                     found.append(
                         (
                             window_hashes(words, starts, window),
-                            window_hashes(words, starts, window, 1),
+                            window_hashes(words, starts, window, 1) >> np.uint64(32),
                             np.full(len(starts), doc_id, np.int64),
                             starts,
                         )
@@ -192,14 +209,15 @@ def later_windows(marked: DataFrame, window: int) -> DataFrame:
                 {
                     "doc_id": batch.column("doc_id").to_numpy()[hit],
                     "at": batch.column("at").to_numpy()[hit],
+                    "n": np.where(later, b, np.int32(1))[hit],
                 }
             )
 
-    sent = marked.mapInArrow(scan, "a long, b long, later boolean, doc_id long, at int")
-    # A settled window may share its key with a true one by chance: it sorts last, so that
-    # `later` never stands before a window that is first.
-    sorted_ = sent.repartition("a").sortWithinPartitions("a", "b", "later", "doc_id", "at")
-    return sorted_.mapInArrow(meet, "doc_id long, at int")
+    sent = marked.mapInArrow(scan, "a long, b int, later boolean, doc_id long, at int")
+    # A settled row may share its key with a true window by chance: it sorts behind all of
+    # them, so that no window takes it for its equal.
+    sorted_ = sent.repartition("a").sortWithinPartitions("a", "later", "b", "doc_id", "at")
+    return sorted_.mapInArrow(meet, "doc_id long, at int, n int")
 
 
 RESULT = T.StructType(
@@ -245,7 +263,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, digest: bool = False) -> D
     marks = marks.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     marked = first_texts.join(marks.hint("shuffle_hash"), "doc_id")
     later = later_windows(marked.select("doc_id", "text", "anchors"), window)
-    later = later.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    later = later.groupBy("doc_id").agg(
+        F.collect_list(F.struct("at", F.col("at") + F.col("n"))).alias("starts")
+    )
     flags = firsts.join(later, "doc_id", "left")
     joined = texts.join(flags.hint("shuffle_hash"), "doc_id", "left")
 
@@ -263,10 +283,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, digest: bool = False) -> D
                 if count > 0 and one is None:
                     gone[:] = True
                 elif count > 0 and starts.is_valid:
-                    at = starts.values.to_numpy()
+                    at, end = (x.to_numpy() for x in starts.values.flatten())
                     steps = np.zeros(len(words) + 1, np.int64)
                     np.add.at(steps, at, 1)
-                    np.add.at(steps, at + window, -1)
+                    np.add.at(steps, end + window - 1, -1)
                     gone = np.cumsum(steps[:-1]) > 0
                 n = int(gone.sum())
                 if n:
