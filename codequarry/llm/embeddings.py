@@ -14,7 +14,7 @@ from codequarry.llm.common import Scratch, add_fields, components, pick, rank_wi
 
 # Principal dimensions of the grid; rows of a block; rows below which all pairs are compared.
 GRID_DIMENSIONS = 8
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 LEAF_ROWS = 64
 # Children of an interval: 2 ** FANOUT_BITS.
 FANOUT_BITS = 4
@@ -128,9 +128,12 @@ def near_duplicates(
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = pick(vectors, "vec_id", "embedding", "label").select(
+    chosen = pick(vectors, "vec_id", "embedding", "label")
+    # Components stay as wide as they come; arithmetic is in double precision.
+    kind = "float" if chosen.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "double"
+    rows = chosen.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("embedding").cast(f"array<{kind}>").alias("embedding"),
         F.col("label").cast("string").alias("label"),
     )
     fine = usable(rows)
@@ -146,7 +149,8 @@ def near_duplicates(
         found = None
     else:
         turn = principal_axes(classes, top["size"], axes)
-        found = _joined(classes, turn, cosine, radius, limit, axes, block_rows, scratch)
+        width = np.float32 if kind == "float" else np.float64
+        found = _joined(classes, turn, cosine, radius, limit, axes, block_rows, width, scratch)
     if found is None:
         return rows.select(
             "vec_id",
@@ -183,6 +187,7 @@ def _joined(
     limit: float,
     axes: int,
     block_rows: int,
+    width: type,
     scratch: Scratch,
 ) -> DataFrame:
     """(node, links, root) by class and pair of blocks that hold links of it."""
@@ -226,7 +231,7 @@ def _joined(
                 held[0][0],
                 np.array([r[1] for r in held], np.int64).tobytes(),
                 np.array([r[2] for r in held], np.int64).tobytes(),
-                x.tobytes(),
+                x.astype(width).tobytes(),
                 *grid.min(axis=0).tolist(),
                 *grid.max(axis=0).tolist(),
             ]
@@ -299,7 +304,7 @@ def _joined(
 
     def read(block: dict) -> tuple:
         ids = np.frombuffer(block["ids"], np.int64)
-        x = np.frombuffer(block["vectors"], float).reshape(len(ids), -1)
+        x = np.frombuffer(block["vectors"], width).astype(float).reshape(len(ids), -1)
         return ids, np.frombuffer(block["copies"], np.int64), (x, np.sqrt((x * x).sum(1)), coordinates(x))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
