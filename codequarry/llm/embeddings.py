@@ -266,9 +266,9 @@ def _joined(
     levels = 0
     while count > 1 << (FANOUT_BITS * levels):
         levels += 1
-    pairs = leaves.sparkSession.range(1).select(
-        F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")
-    )
+    # The whole sequence with itself, as a table: constants would turn the join into a product.
+    whole = leaves.agg(F.min("rank").alias("a"), F.min("rank").alias("b"))
+    pairs = scratch.save(whole.select("a", "b"), "whole")
     near = F.lit(0.0)
     for d in range(axes):
         gap = F.greatest(
