@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +18,11 @@ from codequarry.llm.common import Scratch, distinct_names, keyed, pick
 KINDS = ("email", "ip", "card", "phone")
 # Words to either side of an entity that count as said together with it.
 REACH = 8
-# Part of an entity's information a term may give away, and contexts needed to say so.
+# Part of an entity's information a term may give away.
 DISCLOSURE = 0.5
-SUPPORT = 3
+# Contexts that the prior of a term's share weighs as much as: what an entity's class says, and
+# for the class what the whole table says. One context alone then counts for a fifth.
+PRIOR = 4.0
 
 # The kinds are fixed. Each pattern is stated so that a match starts where a run starts, which
 # finds the same matches in time linear in the text.
@@ -218,34 +220,56 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return said.groupBy("term").agg(F.sum("n").alias("documents"))
 
 
+def entity_class(entity: Column) -> Column:
+    """What rare entities are backed off to: domain, first two bytes, issuer or number prefix."""
+    kind = F.substring_index(entity, ":", 1)
+    return (
+        F.when(kind == "email", F.concat(F.lit("email:"), F.substring_index(entity, "@", -1)))
+        .when(kind == "ip", F.substring_index(entity, ".", 2))
+        .when(kind == "card", F.substring(entity, 1, len("card:") + 6))
+        .otherwise(F.substring(entity, 1, len("phone:") + 4))
+    )
+
+
 def revealing(
-    near: DataFrame, docs: DataFrame, n_docs: int, disclosure: float, support: int
+    near: DataFrame, docs: DataFrame, n_docs: int, disclosure: float, prior: float, scratch: Scratch
 ) -> DataFrame:
     """(entity, term): terms that give away at least `disclosure` of an entity's information.
 
     The information of an entity is -log2 of its share of documents. What a term gives away
     is their pointwise mutual information: log2 of the term's share of the entity's contexts
-    over its share of documents. Equal contexts count once, so copies prove nothing, and a
-    term must be in `support` contexts of the entity at least.
+    over its share of documents. Equal contexts count once, so copies prove nothing more.
+
+    No entity is too rare: the share in its contexts is smoothed by `prior` contexts that have
+    the term as often as those of the other entities of its class, and this share by as many
+    that have it as often as all documents.
     """
+    n = F.lit(float(max(n_docs, 1)))
     said = near.select("entity", "context", "term").distinct()
     pairs = said.groupBy("entity", "term").agg(F.count("*").alias("together"))
-    pairs = pairs.filter(F.col("together") >= support)
+    pairs = scratch.save(pairs.withColumn("class", entity_class(F.col("entity"))), "pairs")
     mentions = near.select("entity", "context", "row_key")
     entities = mentions.groupBy("entity").agg(
         F.count_distinct("context").alias("contexts"), F.count_distinct("row_key").alias("held")
     )
-    entities = entities.filter(F.col("contexts") >= support)
-    found = pairs.join(entities, "entity").join(term_counts(docs), "term")
-    share = F.col("together") / F.col("contexts")
-    told = F.log2(share * F.lit(float(max(n_docs, 1))) / F.col("documents"))
-    information = F.log2(F.lit(float(max(n_docs, 1))) / F.col("held"))
-    return found.filter((information > 0) & (told >= F.lit(disclosure) * information)).select(
-        "entity", "term"
+    entities = scratch.save(entities, "entities")
+    classes = entities.groupBy(entity_class(F.col("entity")).alias("class")).agg(
+        F.sum("contexts").alias("class_contexts")
     )
-
-
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    class_terms = pairs.groupBy("class", "term").agg(F.sum("together").alias("class_together"))
+    needed = F.lit(disclosure) * F.log2(n / F.col("held"))
+    # A share is 1 at most, so terms in too many documents go before classes are looked at.
+    rare = (needed > 0) & (F.log2(n / F.col("documents")) >= needed)
+    found = pairs.join(entities, "entity").join(term_counts(docs), "term").filter(rare)
+    found = found.join(classes, "class").join(class_terms, ["class", "term"])
+    base = F.col("documents") / n
+    others = F.col("class_contexts") - F.col("contexts")
+    of_class = (F.col("class_together") - F.col("together") + prior * base) / (others + prior)
+    share = (F.col("together") + prior * of_class) / (F.col("contexts") + prior)
+    return found.filter(F.log2(share / base) >= needed).select("entity", "term")
+
+
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every whole text.
 
     spans lists `kind:start:end` in code points, end exclusive, comma-joined, by kind (email,
@@ -258,7 +282,7 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     any share of the documents: pairs and counts are aggregated in tasks first.
     """
     scratch = Scratch(docs.sparkSession)
-    rows, found, extra = _found(docs, disclosure, support, scratch)
+    rows, found, extra = _found(docs, disclosure, prior, scratch)
     joined = found.join(extra, "row_key", "left").join(rows.select("row_key", "doc_id"), "row_key")
     terms = F.array_join(
         F.transform("terms", lambda t: F.concat(F.lit("term:"), t["s"], F.lit(":"), t["e"])), ","
@@ -272,12 +296,12 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
 
 
 def _found(
-    docs: DataFrame, disclosure: float, support: int, scratch: Scratch
+    docs: DataFrame, disclosure: float, prior: float, scratch: Scratch
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = keyed(docs, scratch)
     found = scratch.save(find_base(rows), "found")
     near = found.select("row_key", F.explode("contexts").alias("c")).select("row_key", "c.*")
-    flagged = revealing(near, rows, found.count(), disclosure, support)
+    flagged = revealing(near, rows, found.count(), disclosure, prior, scratch)
     places = near.join(flagged, ["entity", "term"]).select("row_key", F.explode(_pairs("places")).alias("at"))
     extra = places.distinct().groupBy("row_key").agg(F.sort_array(F.collect_list("at")).alias("terms"))
     return rows, found.drop("contexts"), scratch.save(extra, "extra")
@@ -292,7 +316,7 @@ def _pairs(column: str):
     )
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """`docs` with text where base spans are generalised to their kind and terms are removed.
 
     `[email]`, `[ip]`, `[card]` and `[phone]` stand for base spans; a longer span swallows
@@ -308,7 +332,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
         unique = whole.select("row_key", F.col("row_key").alias("doc_id"), "text")
     else:
         whole = whole.withColumn("row_key", F.col("doc_id").cast("long"))
-    _, found, extra = _found(unique.select(F.col("row_key").alias("doc_id"), "text"), disclosure, support, scratch)
+    _, found, extra = _found(unique.select(F.col("row_key").alias("doc_id"), "text"), disclosure, prior, scratch)
     spans = found.filter("base <> ''").select("row_key", "base").join(extra, "row_key", "full")
     schema = whole.select("row.*").schema
 
