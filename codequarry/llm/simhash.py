@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.common import Scratch, components, pick
@@ -48,19 +48,20 @@ def _ones(hashes: list[bytes]) -> np.ndarray:
     return np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, bits): the fingerprint of each whole text as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *keys: str) -> DataFrame:
+    """(doc_id, bits): the fingerprint of each whole text as a signed long; and long `keys`."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
             signed = np.array(bits, np.uint64).view(np.int64)
+            names = [*keys, "doc_id"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(signed)], names=["doc_id", "bits"]
+                [*(batch.column(n) for n in names), pa.array(signed)], names=[*names, "bits"]
             )
 
-    chosen = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return chosen.mapInArrow(scan, "doc_id long, bits long")
+    chosen = pick(docs, *keys, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return chosen.mapInArrow(scan, ", ".join(f"{n} long" for n in (*keys, "doc_id", "bits")))
 
 
 def near_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -101,17 +102,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(fingerprints(docs, shingle), "prints")
-    distinct = scratch.save(prints.groupBy("bits").agg(F.min("doc_id").alias("first")), "distinct")
+    joined = prints.join(_least(prints, "doc_id", max_bits, scratch), "bits")
+    return joined.withColumnRenamed("least", "component_id").select(
+        "doc_id", "bits", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def redundant(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """(row_key): all rows of (row_key, doc_id, text) but one of each group of near-duplicates.
+
+    Groups are those of `near_duplicates`. The row that stays has the smallest doc_id, nulls
+    last, and of such rows the smallest row_key, which must be unique.
+    """
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.save(fingerprints(docs, shingle, "row_key"), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_key")
+    least = _least(prints, order, max_bits, scratch)
+    joined = prints.join(least.select("bits", F.col("least.row_key").alias("elected")), "bits")
+    return joined.filter("row_key <> elected").select("row_key")
+
+
+def _least(prints: DataFrame, order: Column | str, max_bits: int, scratch: Scratch) -> DataFrame:
+    """(bits, least): the least `order` of the group of each of the distinct fingerprints."""
+    distinct = scratch.save(prints.groupBy("bits").agg(F.min(order).alias("first")), "distinct")
     roots = components(near_links(distinct, max_bits), scratch, "links")
     rooted = distinct.join(roots, distinct["bits"] == roots["node"], "left").select(
         "bits", "first", F.coalesce("root", "bits").alias("root")
     )
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = scratch.save(rooted.join(ids, "root").select("bits", "component_id"), "named")
-    joined = prints.join(named, "bits")
-    return joined.select(
-        "doc_id", "bits", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return scratch.save(rooted.join(least, "root").select("bits", "least"), "named")
 
 
 def hexadecimal(bits: str = "bits"):

@@ -22,16 +22,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id.
+    """One document of each group of near-duplicates: that of the smallest doc_id, nulls last.
 
-    Only ids of documents that go are joined. Of repeated rows with that doc_id all stay.
+    Rows are elected and removed by a key of their own, so it does not matter whether doc_ids
+    repeat or are null. doc_id is that key where it is one; else rows get one and are written.
+    Only keys of rows that go are joined.
     """
-    found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    gone = Scratch(spark).save(
-        found.filter("not kept and doc_id is not null").select("doc_id").distinct(), "gone"
-    )
+    scratch = Scratch(spark)
     whole = pick(docs, *COLUMNS)
-    return whole.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    key = F.col("doc_id").cast("long")
+    rows, ids = whole.agg(F.count("*"), F.count_distinct(key)).first()
+    if rows == ids:
+        whole = whole.withColumn("row_key", key)
+    else:
+        whole = scratch.save(whole.withColumn("row_key", F.monotonically_increasing_id()), "whole")
+    gone = scratch.save(simhash.redundant(whole, shingle=3, max_bits=2), "gone")
+    return whole.join(gone.hint("shuffle_hash"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def pii_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
