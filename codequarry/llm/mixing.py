@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.common import Scratch, distinct_names, pick
 
-# Sources up to which rates are broadcast (counted first); beyond it they are joined.
-BROADCAST_SOURCES = 100_000
-# A repetition rate above this is met by whole copies, and only the rest is drawn.
-DRAWN_RATE = 64
+# Steps of all sources up to which rates are broadcast (counted first), some 50 MB; beyond it
+# they are joined.
+BROADCAST_STEPS = 6_400_000
+# Largest mean of one draw: exp(-mean) must stay far from the least double. The sum of draws of
+# equal means is a draw of the sum of their means.
+DRAWN_RATE = 700
 ADDED = ("rate", "n_copies", "copy", "shuffle_key")
 
 
@@ -67,7 +69,9 @@ def mix_sources(
     """Each document as often as a Poisson draw says, all copies shuffled over the whole output.
 
     The draw inverts the Poisson distribution whose mean is the source's rate at a uniform
-    number hashed from (seed, doc_id), so a rerun or a lost executor changes nothing. Added
+    number hashed from (seed, doc_id), so a rerun or a lost executor changes nothing. A rate above
+    DRAWN_RATE is shared out evenly among as few draws as needed, each at a number hashed from
+    (seed, doc_id, its place), and their counts are added: Poisson with that rate again. Added
     columns: rate, n_copies, copy (from 1), shuffle_key; columns of these names are replaced, and
     of names alike but for case one stays.
     Rows go to partitions by their random key and are sorted by it there.
@@ -80,22 +84,29 @@ def mix_sources(
     names = distinct_names(docs, "doc_id", "text", "source", without=ADDED)
     docs = pick(docs, *names)
     by_source = scratch.save(rates(docs, power, epochs, weights), "rates")
-    whole = F.greatest(F.floor("rate") - DRAWN_RATE, F.lit(0))
+    draws = F.greatest(F.ceil(F.col("rate") / F.lit(DRAWN_RATE)), F.lit(1)).cast("int")
     by_source = by_source.select(
         F.col("source").alias("rate_source"),
         "rate",
-        whole.alias("rate_whole"),
-        poisson_steps(F.col("rate") - whole).alias("rate_steps"),
+        draws.alias("rate_draws"),
+        poisson_steps(F.col("rate") / draws).alias("rate_steps"),
     )
-    if by_source.count() <= BROADCAST_SOURCES:
+    if (by_source.agg(F.sum(F.size("rate_steps"))).first()[0] or 0) <= BROADCAST_STEPS:
         by_source = F.broadcast(by_source)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     seeded = F.lit(str(seed))
-    drawn = F.size(F.filter("rate_steps", lambda c: c <= F.col("rate_draw")))
+
+    def draw(place: Column) -> Column:
+        return uniform(seeded, F.lit("copies"), key, F.when(place > 1, place.cast("string")))
+
+    def count(total: Column, drawn: Column) -> Column:
+        return total + F.size(F.filter("rate_steps", lambda c: c <= drawn))
+
+    numbers = F.transform(F.sequence(F.lit(1), F.col("rate_draws")), draw)
     copies = (
         docs.join(by_source, F.coalesce(docs["source"], F.lit("")) == F.col("rate_source"))
-        .withColumn("rate_draw", uniform(seeded, F.lit("copies"), key))
-        .withColumn("n_copies", (F.col("rate_whole") + drawn).cast("int"))
+        .withColumn("rate_numbers", numbers)
+        .withColumn("n_copies", F.aggregate("rate_numbers", F.lit(0), count))
         .filter("n_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
         .withColumn(
