@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import (
     embeddings,
+    exact,
     fingerprints,
     language,
     mixing,
     packing,
+    periods,
     pii,
     quality,
     sharding,
     simhash,
+    spelling,
     substrings,
 )
-from codequarry.llm.common import table
+from codequarry.llm.common import pick, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -87,6 +90,52 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def misspelt(doc_id: Column, run: Column) -> Column:
+    """The run without one letter, for about one in 199 of the (document, run)."""
+    seed = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run)
+    h = F.crc32(seed.cast("binary"))
+    at = F.pmod(h, F.length(run)).cast("int")
+    shorter = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))
+    return F.when(h % 199 == 0, shorter).otherwise(run)
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(
+        table(spark, sf_dir, "documents"), least_length=6, least_count=5, respell=misspelt
+    )
+    return spelling.group_variants(words, times=5)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text); in about one document of ten the words from some place on become
+    repeats of the first few there."""
+    h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+        again = F.transform(
+            w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + F.pmod(i - a, p)).cast("int")))
+        )
+        return F.when(n > 0, F.array_join(again, " ")).otherwise("")
+
+    # One array of one array: its words are taken once, not for each place.
+    changed = F.get(F.transform(F.array(words), repeated), F.lit(0))
+    text = F.when((h % 10 == 0) & F.col("text").isNotNull(), changed).otherwise(F.col("text"))
+    return pick(docs, "doc_id", "text").select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_repeats(table(spark, sf_dir, "documents"))
+    return periods.digests(periods.collapse(docs, least=12, digest=True))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +154,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixing,
         op9_fingerprints,
         op10_pii,
+        op11_spelling,
+        op12_exact_dedup,
+        op13_periodic_runs,
         pipeline,
     )
     return {f.__name__: f for f in found}
@@ -176,7 +228,64 @@ SELECT doc_id, source, rate, CAST(n AS INT) AS n_copies, CAST(copy AS INT) AS "c
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM copies)
 """
 
+OP11 = """
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, b)) AS t
+), run AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS n FROM run GROUP BY ALL),
+byte AS (SELECT doc_id, run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS b FROM counted
+), hashed AS (
+  SELECT doc_id, run, n, xor(CAST(4294967295 AS BIGINT), list_reduce(
+    list_transform(range(1, len(b), 2), lambda i: CAST('0x' || substr(b, CAST(i AS INT), 2) AS BIGINT)),
+    lambda c, v: xor(c >> 8, t[CAST((xor(c, v) & 255) + 1 AS INT)]), CAST(4294967295 AS BIGINT))) AS h
+  FROM byte, steps
+), word AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT))
+    || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), letter AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word
+), gone AS (
+  SELECT word, i, substr(word, 1, CAST(i AS INT) - 1) AS head, substr(word, CAST(i AS INT) + 1) AS tail FROM letter
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM gone a JOIN gone b USING (i, head, tail) WHERE a.word <> b.word
+  UNION SELECT g.word, w.word FROM gone g JOIN word w ON g.head || g.tail = w.word
+  UNION SELECT w.word, g.word FROM gone g JOIN word w ON g.head || g.tail = w.word
+), best AS (
+  SELECT a, count(*) AS n_near, arg_min(b, (-n, encode(b))) AS b, max(n) AS b_n
+  FROM near JOIN word ON b = word GROUP BY a
+), known AS (
+  SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+    CASE WHEN b_n >= 5 * n THEN b END AS form, CASE WHEN b_n >= 5 * n THEN b_n END AS form_n
+  FROM word LEFT JOIN best ON word = a
+), chain AS (
+  SELECT word, word AS root, form AS further FROM known
+  UNION ALL
+  SELECT c.word, k.word, k.form FROM chain c JOIN known k ON c.further = k.word
+)
+SELECT word, form, root, n, n_near, form_n
+FROM known JOIN (SELECT word, root FROM chain WHERE further IS NULL) USING (word)
+"""
+
+OP12 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM documents
+) WINDOW same AS (PARTITION BY norm)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what an operator does; the others are tested by brute force."""
-    return {"op2_embedding_dedup": OP2, "op5_substring_dedup": OP5, "op8_mixing": OP8}
+    return {
+        "op2_embedding_dedup": OP2,
+        "op5_substring_dedup": OP5,
+        "op8_mixing": OP8,
+        "op11_spelling": OP11,
+        "op12_exact_dedup": OP12,
+    }
