@@ -34,9 +34,9 @@ def duplicates(
     Texts are equal when identical after A-Z became lower case. Of equal texts the row of the
     `smallest` or `largest` doc_id stays (keep_id), marked by kept.
 
-    Rows are grouped by a 128-bit hash. Texts of groups of two and more are then compared byte
-    by byte; where one hash stands for different texts, its rows are grouped by the texts
-    themselves. Only such texts are ever shuffled, copies met in one task once.
+    Rows are grouped by a 128-bit hash. Texts of one hash are then compared byte by byte; where
+    it stands for different ones, its rows are grouped by the texts themselves. Each task sends
+    a text once, however many copies it meets, and that is the only shuffle of texts.
 
     Null text counts as empty; null doc_ids lose to any other; of equal doc_ids the row read
     first stays, so repeated rows leave one; an empty table gives an empty result. Election
@@ -58,7 +58,7 @@ def duplicates(
         "rows",
     )
     groups = scratch.save(_elected(rows, keep, "hash"), "groups")
-    collided = scratch.save(_collisions(hashed, groups), "collided")
+    collided = scratch.save(_collisions(hashed), "collided")
     if collided.isEmpty():
         return _named(rows, groups, scratch, "hash")
 
@@ -88,10 +88,10 @@ def _elected(rows: DataFrame, keep: str, *key: str) -> DataFrame:
     )
 
 
-def _collisions(hashed: DataFrame, groups: DataFrame) -> DataFrame:
+def _collisions(hashed: DataFrame) -> DataFrame:
     """(hash): those that stand for more than one text, by comparing whole texts."""
-    alike = hashed.join(groups.select("hash"), "hash", "left_semi").groupBy("hash", "whole").count()
-    return alike.groupBy("hash").agg(F.count("*").alias("texts")).filter("texts > 1").select("hash")
+    texts = hashed.groupBy("hash", "whole").count().groupBy("hash")
+    return texts.agg(F.count("*").alias("texts")).filter("texts > 1").select("hash")
 
 
 def _named(rows: DataFrame, groups: DataFrame, scratch: Scratch, *key: str) -> DataFrame:
