@@ -24,6 +24,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def numbered_keys(keys: Column) -> Column:
+    """(key, i) of an array of strings in order, to look keys up with ``first_place``."""
+    return F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("i"))))
+
+
+def first_place(places: Column, key: Column) -> Column:
+    """The least i of a key among ordered (key, i), null without; by halving the array.
+
+    Built-in look-ups in arrays and maps read them from the start each time.
+    """
+
+    def halved(places: Column) -> Column:
+        def closer(s: Column, _: Column) -> Column:
+            middle = F.shiftright(s["low"] + s["high"], 1)
+            below = F.get(places, middle)["key"] < key
+            return (
+                F.when(s["low"] >= s["high"], s)
+                .when(below, F.struct((middle + 1).alias("low"), s["high"].alias("high")))
+                .otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
+            )
+
+        size = F.size(places)
+        start = F.struct(F.lit(0).alias("low"), size.alias("high"))
+        steps = F.sequence(F.lit(1), F.length(F.bin(size)))
+        at = F.get(places, F.aggregate(steps, start, closer, lambda s: s["low"]))
+        return let(at, lambda p: F.when(p["key"] == key, p["i"]))
+
+    return let(places, halved)
+
+
 def kept(build: Callable[..., Column]) -> Callable[..., Column]:
     """Build a column over named columns once and use it again.
 

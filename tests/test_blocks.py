@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,38 +88,64 @@ SHAPES = {
     "open behind a comment": lambda n: "socket.on('a', () => {\n" + "// socket.on('a', () => { }\n" * n,
     "named, then one open": lambda n: "socket.on('a', onA);\n" * n + "x = () => {" + " y;" * n,
     "open quotes": lambda n: "socket.on('a', () => { \"`\n" * n,
+    "open comments": lambda n: "socket.on('e', x => { /*" * n,
+    "line comments on one line": lambda n: "socket.on('e', x => { // " * n,
+    "escaped quotes": lambda n: 'socket.on(\'e\', x => { \\" \\` ' * n,
+    "backslashes": lambda n: "socket.on('e', x => { \"\\\\" * n,
+    "quotes to one end": lambda n: 'socket.on(\'e\', x => { \\" ' * n + '"' + "x" * 50 * n,
     "deep": lambda n: "socket.on('a', () => " + "{" * n + "}" * n + ")",
 }
 
 
-class Counted:
-    """A pattern that counts its searches and the text it reads."""
-
-    def __init__(self, pattern):
-        self.pattern, self.work = pattern, 0
-
-    def search(self, text, place):
-        found = self.pattern.search(text, place)
-        self.work += 1 + (found.end() if found else len(text)) - place
-        return found
-
-
 @pytest.mark.parametrize("shape", SHAPES)
 def test_work_is_linear_in_the_text(monkeypatch, shape):
-    token = blocks._TOKEN
-    work = []
+    """A look-up in the index costs the logarithm of its size; there are few by token."""
+    looks = []
+    look_up = blocks.bisect_left
+
+    def counted(places, place):
+        looks[-1] += 1
+        return look_up(places, place)
+
+    monkeypatch.setattr(blocks, "bisect_left", counted)
     for n in (500, 1000, 2000, 4000):
-        counted = Counted(token)
-        monkeypatch.setattr(blocks, "_TOKEN", counted)
+        looks.append(0)
         text = SHAPES[shape](n)
         blocks.handler_blocks(cut(text))
-        work.append(counted.work)
-        assert counted.work < 8 * len(text) + 100
-    assert all(b <= 2.2 * a + 100 for a, b in zip(work, work[1:], strict=False))
+        tokens = len(blocks.Delimiters(text).starts)
+        assert looks[-1] < 6 * tokens + 100
+    assert all(b <= 2.2 * a + 100 for a, b in zip(looks, looks[1:], strict=False))
     few = SHAPES[shape](30)
     assert blocks.handler_blocks(cut(few)) == plain_handlers(few)
 
 
+@pytest.mark.parametrize("shape", SHAPES)
+def test_long_texts_take_little_time(shape):
+    pieces = cut(SHAPES[shape](8000))
+    began = time.perf_counter()
+    blocks.handler_blocks(pieces)
+    assert time.perf_counter() - began < 1
+
+
+@pytest.mark.parametrize("mark", ["'", '"', "`", "//", "/*"])
+def test_what_closes_a_quote_or_a_comment(mark):
+    """The index against reading on from the mark, one character at a time."""
+    rng = random.Random(9)
+    for _ in range(2000):
+        text = mark + "".join(rng.choices(["\\", "\\", "'", '"', "`", "*", "/", "\n", "a"], k=rng.randint(0, 12)))
+        at, escaped = len(mark), False
+        end = {"//": "\n", "/*": "*/"}.get(mark, mark)
+        while at < len(text):
+            if escaped:
+                escaped = False
+            elif len(mark) == 1 and text[at] == "\\":
+                escaped = True
+            elif text.startswith(end, at):
+                break
+            at += 1
+        assert blocks.Delimiters(text).behind(0) == min(at + len(end), len(text))
+
+
 @pytest.mark.parametrize("window", [(0, 5), (7, 3), (20, 30), (200, 300)])
 def test_windows_around_matches(spark, window):
     rng = random.Random(5)
