@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,10 @@ BATCHES = {
 }
 
 
+# A row group is buffered whole by each task that writes one.
+ROW_GROUP_BYTES = 8 << 20
+
+
 class Scratch:
     """Tables written to the shared folder of the cluster, to cut lineage and to read twice.
 
@@ -49,7 +56,8 @@ class Scratch:
         """Write and reread."""
         path = f"{self.folder}/{name}"
         self.saved.add(name)
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
+        writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -59,6 +67,28 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a Python task, which hands unused memory back when its rows end.
+
+    Workers are used again by later tasks and stages, next to the JVM of their executor.
+    """
+
+    @wraps(scan)
+    def run(batches: Iterator) -> Iterator:
+        yield from scan(batches)
+        release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The first column of each name, by place: other columns of like names don't matter."""
     places = df.toDF(*(f"_{i}" for i in range(len(df.columns))))

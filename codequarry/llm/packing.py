@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.llm.common import Scratch, add_fields, pick, rank_within, with_columns
+from codequarry.llm.common import Scratch, add_fields, lean, pick, rank_within, with_columns
 
-# Stretches and words whose ids a task keeps in each of two generations.
-STRETCHES_KEPT = 200_000
-WORDS_KEPT = 300_000
+# Bytes of the stretches and words whose ids a task keeps in each of two generations, and what
+# an entry takes besides its letters and ids.
+STRETCH_BYTES = 24 << 20
+WORD_BYTES = 16 << 20
+ENTRY_BYTES = 190
 LONGEST_KEPT = 48
 # Bits of a rank within a length; the length takes the bits above.
 RANK_BITS = 44
@@ -40,23 +42,28 @@ PIECE = T.StructType(
 
 
 class Recent:
-    """What was looked up lately: a generation in use and the one before it."""
+    """What was looked up lately: a generation in use and the one before it, bounded in bytes."""
 
     def __init__(self, most: int):
         self.most = most
+        self.clear()
+
+    def clear(self) -> None:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def get(self, key: str) -> bytes | None:
         found = self.new.get(key)
         if found is None and (found := self.old.get(key)) is not None:
-            self.new[key] = found
+            self.put(key, found)
         return found
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
+        if self.size >= self.most:
+            self.old, self.new, self.size = self.new, {}, 0
         self.new[key] = value
+        self.size += ENTRY_BYTES + len(key) + len(value)
 
 
 class Encoder:
@@ -77,7 +84,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
-        self.stretches, self.words = Recent(STRETCHES_KEPT), Recent(WORDS_KEPT)
+        self.stretches, self.words = Recent(STRETCH_BYTES), Recent(WORD_BYTES)
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.signs = {
             c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 255) if not chr(c).isspace()
@@ -148,6 +155,11 @@ class Encoder:
         return data
 
 
+    def forget(self) -> None:
+        self.stretches.clear()
+        self.words.clear()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -165,6 +177,7 @@ def pieces(
         [*PIECE.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])]
     )
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, closing = encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
@@ -183,6 +196,7 @@ def pieces(
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)],
                     names=schema.names,
                 )
+        encode.forget()
 
     chosen = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return chosen.mapInArrow(cut, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.llm.common import Scratch, distinct_names, keyed, pick
+from codequarry.llm.common import Scratch, distinct_names, keyed, lean, pick
 
 KINDS = ("email", "ip", "card", "phone")
 # Words to either side of an entity that count as said together with it.
@@ -165,6 +165,7 @@ def find_base(docs: DataFrame) -> DataFrame:
         )
     ]
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -195,6 +196,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     Tasks add up what they read before anything is shuffled.
     """
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(counts: dict[str, int]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -348,6 +350,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRI
                 at = e
         return "".join([*out, text[at:]])
 
+    @lean
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [

@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.llm.common import Scratch, add_fields, distinct_names, mix, pick, with_columns, word_hashes
+from codequarry.llm.common import (
+    Scratch,
+    distinct_names,
+    mix,
+    pick,
+    release_memory,
+    word_hashes,
+)
 from codequarry.llm.language import labelled_sample
 from codequarry.llm.linear import Ftrl, softmax, temperature
 
@@ -260,15 +267,15 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return docs.withColumn("quality_score", F.lit(1.0)).withColumn("accepted", F.lit(True))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    places = [names.index(c) for c in COLUMNS[1:]]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in places), strict=True)
-            scores = np.array([model.score(*features(*row)) for row in rows], float)
-            yield with_columns(batch, quality_score=scores, accepted=scores >= model.threshold)
 
-    return docs.mapInArrow(
-        scan, add_fields(docs, quality_score=T.DoubleType(), accepted=T.BooleanType())
-    )
+    @F.arrow_udf(T.DoubleType())
+    def score(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (text, lang, source, n_chars)), strict=True)
+        scores = [sent.value.score(*features(*row)) for row in rows]
+        release_memory()
+        return pa.array(scores, pa.float64())
+
+    # Scores alone come back from Python; what nobody selects does not go there. Marked so that
+    # the score is taken once, whatever is done with it.
+    scored = docs.withColumn("quality_score", score.asNondeterministic()(*COLUMNS[1:]))
+    return scored.withColumn("accepted", F.col("quality_score") >= model.threshold)

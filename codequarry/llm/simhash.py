@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import Scratch, components, pick
+from codequarry.llm.common import Scratch, components, lean, pick
 
 _SHINGLES_AT_ONCE = 1 << 14
 
@@ -51,6 +51,7 @@ def _ones(hashes: list[bytes]) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 3, *keys: str) -> DataFrame:
     """(doc_id, bits): the fingerprint of each whole text as a signed long; and long `keys`."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
