@@ -11,7 +11,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codequarry.llm.common import Scratch, distinct_names, keyed, lean, pick
 
@@ -93,77 +92,68 @@ def term_hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int, list[int]]]:
-    """(entity, context, term, places) of each term within REACH words of an entity.
+def words_of(text: str) -> list[str]:
+    """All words `\\w+` of a text in lower case; letters change after the text is split, so that
+    counts and contexts know the same words."""
+    return [w.lower() for w in _WORD.findall(text)]
 
-    Terms are words `\\w+` in lower case outside all spans, without digits only. places are
-    starts and ends of all its occurrences in the text, outside spans. context is a hash of
-    the entity's surroundings.
+
+def contexts(
+    text: str, spans: list[tuple[int, int, int]]
+) -> tuple[list[tuple[str, int, list[int]]], dict[int, list[int]]]:
+    """(entity, context, terms) of each entity, and the places of each such term.
+
+    Terms are words of at most REACH words away outside all spans, without digits only. Places
+    are starts and ends of all occurrences of a term in the text, outside spans, held once
+    however many entities it stands by. context is a hash of the entity's surroundings.
     """
     if not spans:
-        return []
+        return [], {}
     inside = sorted((s, e) for _, s, e in spans)
     starts = np.array([s for s, _ in inside])
     furthest = np.maximum.accumulate(np.array([e for _, e in inside]))
-    words: list[tuple[int, int, str]] = []
-    for m in _WORD.finditer(text):
-        k = int(np.searchsorted(starts, m.end())) - 1
-        if k < 0 or furthest[k] <= m.start():
-            words.append((m.start(), m.end(), m[0].lower()))
-    firsts = np.array([w[0] for w in words], np.int64)
-    places: dict[str, list[int]] = {}
-    out = []
-    near: list[tuple[str, int, list[str]]] = []
-    for kind, s, e in spans:
-        left, right = int(np.searchsorted(firsts, s)), int(np.searchsorted(firsts, e))
-        around = [w[2] for w in words[max(0, left - REACH) : left] + words[right : right + REACH]]
-        around_hash = term_hash(" ".join(around))
+    found = list(_WORD.finditer(text))
+    firsts = np.array([m.start() for m in found], np.int64)
+    ends = np.array([m.end() for m in found], np.int64)
+    last = np.searchsorted(starts, ends) - 1
+    free = np.flatnonzero((last < 0) | (furthest[last] <= firsts))
+    firsts, ends = firsts[free], ends[free]
+    words = [found[k][0].lower() for k in free.tolist()]
+    hashes: dict[str, int] = {}
+    near = []
+    left = np.searchsorted(firsts, [s for _, s, _ in spans]).tolist()
+    right = np.searchsorted(firsts, [e for _, _, e in spans]).tolist()
+    for (kind, s, e), i, j in zip(spans, left, right, strict=True):
+        around = words[max(0, i - REACH) : i] + words[j : j + REACH]
         terms = [t for t in dict.fromkeys(around) if not t.isdigit()]
-        near.append((entity(kind, text[s:e]), around_hash, terms))
-        places.update((t, []) for t in terms)
-    for s, e, w in words:
-        if w in places:
-            places[w] += (s, e)
-    for name, around_hash, terms in near:
-        out += [(name, around_hash, term_hash(t), places[t]) for t in terms]
-    return out
-
-
-CONTEXT = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("entity", T.StringType()),
-            T.StructField("context", T.LongType()),
-            T.StructField("term", T.LongType()),
-            T.StructField("places", T.ArrayType(T.IntegerType())),
-        ]
-    )
-)
-FOUND = T.StructType(
+        for t in terms:
+            if t not in hashes:
+                hashes[t] = term_hash(t)
+        near.append((entity(kind, text[s:e]), term_hash(" ".join(around)), [hashes[t] for t in terms]))
+    places: dict[int, list[int]] = {h: [] for h in hashes.values()}
+    for w, s, e in zip(words, firsts.tolist(), ends.tolist(), strict=True):
+        if w in hashes:
+            places[hashes[w]] += (s, e)
+    return near, places
+
+
+CONTEXT = "array<struct<entity:string,context:bigint,terms:array<bigint>>>"
+PLACES = "array<struct<term:bigint,places:array<int>>>"
+FOUND = ", ".join(
     [
-        T.StructField("row_key", T.LongType()),
-        *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS),
-        T.StructField("base_sha256", T.StringType()),
-        T.StructField("base", T.StringType()),
-        T.StructField("contexts", CONTEXT),
+        "row_key bigint",
+        *(f"n_{k} bigint" for k in KINDS),
+        f"base_sha256 string, base string, contexts {CONTEXT}, places {PLACES}",
     ]
 )
 
 
 def find_base(docs: DataFrame) -> DataFrame:
     """Base spans of (row_key, text) and the terms around them, one row by document."""
-    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [
-        pa.list_(
-            pa.struct(
-                [
-                    ("entity", pa.string()),
-                    ("context", pa.int64()),
-                    ("term", pa.int64()),
-                    ("places", pa.list_(pa.int32())),
-                ]
-            )
-        )
-    ]
+    near_kind = [("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.int64()))]
+    place_kind = [("term", pa.int64()), ("places", pa.list_(pa.int32()))]
+    nested = [pa.list_(pa.struct(k)) for k in (near_kind, place_kind)]
+    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + nested
 
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +166,21 @@ def find_base(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 base = written([(KINDS[k], s, e) for k, s, e in spans])
                 counts = np.bincount([k for k, _, _ in spans], minlength=4).tolist()
-                near = [
-                    {"entity": n, "context": c, "term": t, "places": p}
-                    for n, c, t, p in contexts(text, spans)
-                ]
-                rows.append((key, *counts, hashlib.sha256(base.encode()).hexdigest(), base, near))
+                near, places = contexts(text, spans)
+                rows.append(
+                    (
+                        key,
+                        *counts,
+                        hashlib.sha256(base.encode()).hexdigest(),
+                        base,
+                        [dict(zip(("entity", "context", "terms"), n, strict=True)) for n in near],
+                        [{"term": t, "places": p} for t, p in places.items()],
+                    )
+                )
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    names=FOUND.names,
+                    names=["row_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "contexts", "places"],
                 )
 
     return docs.select("row_key", "text").mapInArrow(scan, FOUND)
@@ -210,7 +206,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         counts: dict[str, int] = {}
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for word in set(_WORD.findall((text or "").lower())):
+                for word in set(words_of(text or "")):
                     counts[word] = counts.get(word, 0) + 1
             if len(counts) > 200_000:
                 yield out(counts)
@@ -302,11 +298,16 @@ def _found(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = keyed(docs, scratch)
     found = scratch.save(find_base(rows), "found")
-    near = found.select("row_key", F.explode("contexts").alias("c")).select("row_key", "c.*")
-    flagged = revealing(near, rows, found.count(), disclosure, prior, scratch)
-    places = near.join(flagged, ["entity", "term"]).select("row_key", F.explode(_pairs("places")).alias("at"))
-    extra = places.distinct().groupBy("row_key").agg(F.sort_array(F.collect_list("at")).alias("terms"))
-    return rows, found.drop("contexts"), scratch.save(extra, "extra")
+    near = found.select("row_key", F.explode("contexts").alias("c"))
+    near = near.select("row_key", "c.entity", "c.context", F.explode("c.terms").alias("term"))
+    flagged = scratch.save(
+        revealing(near, rows, found.count(), disclosure, prior, scratch), "flagged"
+    )
+    hits = near.join(flagged, ["entity", "term"]).select("row_key", "term").distinct()
+    said = found.select("row_key", F.explode("places").alias("p")).select("row_key", "p.*")
+    places = said.join(hits, ["row_key", "term"]).select("row_key", F.explode(_pairs("places")).alias("at"))
+    extra = places.groupBy("row_key").agg(F.sort_array(F.collect_list("at")).alias("terms"))
+    return rows, found.drop("contexts", "places"), scratch.save(extra, "extra")
 
 
 def _pairs(column: str):
