@@ -195,7 +195,7 @@ def train(
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(good.cast("int")).alias("good")
     )
-    chosen = labelled_sample(known, "good", rows_by_class).select("doc_id", "good")
+    chosen = labelled_sample(known, "good", rows_by_class, "doc_id").select("doc_id", "good")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

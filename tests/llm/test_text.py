@@ -128,7 +128,7 @@ def test_document_frequencies_by_hand(spark):
     texts = ["ab", "ab ab", "b"]
     counts, total = language.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert total == 3
-    wanted = np.zeros(language.FEATURES, int)
+    wanted = np.zeros(1 << language.BITS, int)
     for t in texts:
         wanted[list(set(np.concatenate(list(language.grams(t))).tolist()))] += 1
     assert (counts == wanted).all()
