@@ -134,8 +134,8 @@ CLIENT_CALLS = (("axios", AXIOS_CALL), ("requests", REQUESTS_CALL), ("http", HTT
 # -----------------------------------------------------------------------------
 
 
-def flow_files(files: DataFrame, path: str = ".") -> DataFrame:
-    """(project, file, language, content, lower) of the files that have facts."""
+def flow_files(files: DataFrame, path: str = ".", also: tuple[str, ...] = ()) -> DataFrame:
+    """(project, file, language, content, *also, lower) of the files that have facts."""
     return (
         only_kinds(scan(files, path), *CODE_KINDS)
         .select(
@@ -143,6 +143,7 @@ def flow_files(files: DataFrame, path: str = ".") -> DataFrame:
             F.col("path").alias("file"),
             flow_language(F.col("path")).alias("language"),
             "content",
+            *also,
         )
         .where(F.col("language").isNotNull())
         .withColumn("lower", F.lower("content"))

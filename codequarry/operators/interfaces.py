@@ -18,7 +18,7 @@ from codequarry.functions.text import kept, let
 from codequarry.rules import DETECTORS
 from codequarry.rules.base import FIELDS, Detector, Source, no_rows
 from codequarry.rules.javascript import EXPRESS_ROUTE
-from codequarry.sources.corpus import CODE_KINDS, only_kinds, scan
+from codequarry.sources.corpus import CODE_KINDS, only_evident, only_kinds, scan
 
 # Languages whose rules have case-insensitive evidence.
 _LOWERED = ("javascript", "typescript", "php")
@@ -72,11 +72,17 @@ def found_interfaces(
 
 
 def code_files(
-    files: DataFrame, path: str = ".", detectors: Iterable[Detector] = DETECTORS
+    files: DataFrame,
+    path: str = ".",
+    detectors: Iterable[Detector] = DETECTORS,
+    with_evidence: bool = False,
 ) -> DataFrame:
-    """(project, file, language, content, lower) of the files the rules apply to."""
+    """(project, file, language, content, lower) of the files the rules apply to, or of those
+    in which they may find something."""
     languages = sorted({x for d in detectors for x in d.languages})
     code = only_kinds(scan(files, path), *[k for k in CODE_KINDS if k in languages])
+    if with_evidence:
+        code = only_evident(code, detectors)
     return (
         code.select(
             "project",
@@ -94,7 +100,7 @@ def _interfaces(
 ) -> DataFrame:
     found = found_interfaces("language", one_direction, tuple(detectors))
     return (
-        code_files(files, path, detectors)
+        code_files(files, path, detectors, with_evidence=True)
         .select("project", "file", "language", F.posexplode(found).alias("ord", "row"))
         .select("project", "file", "language", *[f"row.{f}" for f in FIELDS], "ord")
     )

@@ -3,17 +3,23 @@
 ``source_files(project, path, content, size)`` holds one row per file;
 ``(project, path)`` is its key. As Parquet it is laid out by ``kind``, so that
 work on paths reads no text, package manifests are found without touching code,
-and code operators skip everything that is not code.
+and code operators skip everything that is not code. Below it is laid out by the
+rules whose words a file holds, so that interface rules skip files without them.
+A ``digest`` of each text tells changed files from others without reading text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codequarry.functions.languages import LANGUAGES, flow_language
 from codequarry.functions.text import basename
+from codequarry.rules.base import Detector
+from codequarry.rules.evidence import EVIDENCE, evident, evidence
 
 SCHEMA = T.StructType(
     [
@@ -85,20 +91,26 @@ def write_corpus(
     rebalance: bool = True,
     row_group_bytes: int = 16 << 20,
 ) -> None:
-    """Write source files as Parquet, one directory per kind, files ordered by (project, path).
+    """Write source files as Parquet, by kind and evidence, files ordered by (project, path).
 
-    One shuffle gathers each kind into files of the advisory partition size,
-    splitting kinds that are large, which spares later scans many small files.
-    Without ``rebalance`` nothing is shuffled and each task writes the kinds it
-    holds. Within a file rows are in order, so a filter on a project or a
+    A kind has at most as many directories as its rules have combinations, 128.
+    One shuffle gathers each directory into files of the advisory partition size,
+    splitting large ones, which spares later scans many small files. Without
+    ``rebalance`` nothing is shuffled and each task writes what it holds. Within a file rows are in order, so a filter on a project or a
     subtree skips the row groups that lie outside of it. A scan is split by row
     groups; as its work is CPU, these are smaller than is usual.
     """
-    laid_out = files.withColumn("kind", kind(F.col("path")))
+    laid_out = files.withColumns(
+        {
+            "digest": F.md5("content"),
+            "kind": kind(F.col("path")),
+            EVIDENCE: evidence(F.col("path"), F.col("content")),
+        }
+    )
     if rebalance:
-        laid_out = laid_out.hint("rebalance", "kind")
-    ordered = laid_out.sortWithinPartitions("kind", "project", "path")
-    writer = ordered.write.partitionBy("kind").mode(mode)
+        laid_out = laid_out.hint("rebalance", "kind", EVIDENCE)
+    ordered = laid_out.sortWithinPartitions("kind", EVIDENCE, "project", "path")
+    writer = ordered.write.partitionBy("kind", EVIDENCE).mode(mode)
     writer.option("parquet.block.size", row_group_bytes).parquet(target)
 
 
@@ -112,6 +124,11 @@ def only_kinds(files: DataFrame, *kinds: str) -> DataFrame:
     return files.where(F.col("kind").isin(*kinds)) if "kind" in files.columns else files
 
 
+def only_evident(files: DataFrame, detectors: Iterable[Detector]) -> DataFrame:
+    """Skip files in which none of the rules can find anything, where that is stored."""
+    return files.where(evident(detectors)) if EVIDENCE in files.columns else files
+
+
 def under(files: DataFrame, directory: str) -> DataFrame:
     """Files below a directory given relative to the project root."""
     prefix = _prefix(directory)
