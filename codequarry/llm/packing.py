@@ -18,8 +18,8 @@ from codequarry.llm.common import Scratch, add_fields, lean, pick, rank_within,
 
 # Bytes of the stretches and words whose ids a task keeps in each of two generations, and what
 # an entry takes besides its letters and ids.
-STRETCH_BYTES = 24 << 20
-WORD_BYTES = 16 << 20
+STRETCH_BYTES = 48 << 20
+WORD_BYTES = 40 << 20
 ENTRY_BYTES = 190
 LONGEST_KEPT = 48
 # Bits of a rank within a length; the length takes the bits above.
