@@ -181,7 +181,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Alternating large and small stars: each node links its greater neighbours to its least
     one, then its lesser ones. Only nodes with edges are returned. Nothing reaches the driver
-    but a count and a checksum by round; every round is written, so lineage stays short.
+    but a count and a checksum by round; every round is written, so lineage stays short. The
+    least neighbours are written as well: both sides of a join are then read as they lie, so
+    the engine can split the edges of a hub over tasks, which it cannot below an aggregate.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     stars = scratch.save(both.filter("u <> v").distinct(), f"{name}_0")
@@ -193,18 +195,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         state, turn = found, turn + 1
         sides = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sides.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
+        least = scratch.save(least.select("u", F.least("u", "m").alias("m")), f"{name}_least_{turn}")
         large = sides.filter("v > u").join(least, "u")
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large, f"{name}_large_{turn}")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_lowest_{turn}")
         small = large.join(lowest, "u").filter("v <> m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = scratch.save(
             small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), f"{name}_{turn}"
         )
-        scratch.drop(f"{name}_{turn - 1}")
-        scratch.drop(f"{name}_large_{turn}")
+        for done in (f"{name}_{turn - 1}", *(f"{name}_{k}_{turn}" for k in ("least", "large", "lowest"))):
+            scratch.drop(done)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,17 +22,18 @@ FANOUT_BITS = 4
 SLACK = 1e-6
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Rows that can link: label set, components set and finite, not the zero vector."""
+def usable() -> Column:
+    """Whether a row can link: label set, components set and finite, not the zero vector."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists("embedding", lambda x: x != 0)
-    return vectors.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull()).filter(fine & some)
+    known = F.col("label").isNotNull() & F.col("embedding").isNotNull()
+    return F.coalesce(known & fine & some, F.lit(False))
 
 
 def principal_axes(classes: DataFrame, size: int, axes: int) -> np.ndarray:
     """Leading eigenvectors (size x axes) of the second moments of unit vectors of that size.
 
-    Tasks sum up their rows; the size * size sums are added up by Spark.
+    Tasks sum up their rows; Spark adds up the sums, a row of the matrix to a group.
     """
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,16 +42,20 @@ def principal_axes(classes: DataFrame, size: int, axes: int) -> np.ndarray:
             x = _matrix(batch.column("embedding"), size)
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(size * size)), pa.array(total.ravel())], names=["at", "value"]
-        )
+        rows = pa.array([r.tobytes() for r in total], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), rows], names=["at", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(r, float) for r in table.column("sums").to_pylist())
+        return pa.table({"at": table.column("at").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     same = classes.filter(F.size("embedding") == size).select("embedding")
-    summed = same.mapInArrow(moments, "at long, value double").groupBy("at").agg(F.sum("value"))
-    matrix = np.zeros(size * size)
-    for at, value in summed.collect():
-        matrix[at] = value
-    _, vectors = np.linalg.eigh(matrix.reshape(size, size))
+    kind = "at long, sums binary"
+    summed = same.mapInArrow(moments, kind).groupBy("at").applyInArrow(add, kind)
+    matrix = np.zeros((size, size))
+    for at, sums in summed.collect():
+        matrix[at] = np.frombuffer(sums, float)
+    _, vectors = np.linalg.eigh(matrix)
     return vectors[:, ::-1][:, :axes]
 
 
@@ -136,11 +141,19 @@ def near_duplicates(
         F.col("embedding").cast(f"array<{kind}>").alias("embedding"),
         F.col("label").cast("string").alias("label"),
     )
-    fine = usable(rows)
+    fine = rows.filter(usable())
     classes = fine.groupBy("label", "embedding").agg(
         F.min("vec_id").alias("first"), F.count("*").alias("copies")
     )
-    classes = scratch.save(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    # Rows find their class by two hashes of the vector if these tell all classes apart.
+    keys = {
+        "key_a": F.xxhash64("label", "embedding"),
+        "key_b": F.xxhash64("embedding", F.lit("b"), "label"),
+    }
+    numbered = classes.withColumn("class_id", F.monotonically_increasing_id()).withColumns(keys)
+    classes = scratch.save(numbered, "classes")
+    clear = classes.groupBy(*keys).count().filter("count > 1").isEmpty()
+    by = [*keys] if clear else ["label", "embedding"]
     radius = float(np.sqrt(max(2 - 2 * cosine, 1e-6)))
     limit = radius * radius + SLACK
     sizes = classes.groupBy(F.size("embedding").alias("size")).count()
@@ -165,18 +178,23 @@ def near_duplicates(
     known = known.withColumn("group_id", F.coalesce("root", "class_id"))
     names = known.groupBy("group_id").agg(F.min("first").alias("component_id"))
     known = known.join(names, "group_id").select(
-        "label",
-        "embedding",
+        *by,
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"),
         "component_id",
     )
-    joined = rows.join(known, ["label", "embedding"], "left")
-    return joined.select(
+    # Written, so that the engine can split a class that holds many rows.
+    known = scratch.save(known, "known")
+    joined = fine.withColumns(keys).select("vec_id", *by).join(known, by)
+    linked = joined.select(
         "vec_id",
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"),
+        F.col("links").cast("long").alias("n_links"),
+        "component_id",
+        F.col("component_id").eqNullSafe(F.col("vec_id")).alias("kept"),
+    )
+    alone = rows.filter(~usable()).select(
+        "vec_id", F.lit(0).cast("long"), F.col("vec_id").alias("component_id"), F.lit(True)
     )
+    return linked.union(alone)
 
 
 def _joined(
