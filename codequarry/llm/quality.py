@@ -19,13 +19,16 @@ from codequarry.llm.common import (
     release_memory,
     word_hashes,
 )
-from codequarry.llm.language import labelled_sample
+from codequarry.llm.language import bounded, labelled_sample
 from codequarry.llm.linear import Ftrl, softmax, temperature
 
-# Hashed features of a view; labelled rows to fit on by class; unlabelled rows of the pool.
+# Hashed features of a view; labelled rows to fit on by stratum, which is good, of low quality or
+# toxic; unlabelled rows of the pool; bytes of the vectors of a stratum or the pool.
 FEATURES = 1 << 18
-ROWS_BY_CLASS = 2000
+GOOD, POOR, TOXIC, POOL = "good", "poor", "toxic", "pool"
+ROWS_BY_STRATUM = 2000
 POOL_ROWS = 2000
+SAMPLE_BYTES = 32 << 20
 # Part of the labelled rows held back to calibrate on: one in so many.
 HELD_BACK = 4
 # Rounds of exchange, rows by class a view passes on in one, and how sure it must be.
@@ -95,6 +98,8 @@ class Model:
     biases: tuple[float, float]
     mixing: tuple[float, float, float]
     threshold: float
+    # Part of the held-back rows that is accepted, by stratum.
+    accepted: dict[str, float] | None = None
 
     def score(self, content: np.ndarray, metadata: np.ndarray) -> float:
         a = float(self.content[content].sum()) + self.biases[0]
@@ -128,14 +133,16 @@ def co_train(
     labels: list[int],
     pools: tuple[list[np.ndarray], list[np.ndarray]],
     rounds: int = ROUNDS,
+    strata: list[str] | None = None,
 ) -> Model:
     """Fits both views; in each round a view labels what it is sure of in the pool for the other.
 
-    Every fourth labelled row is held back: its labels set the temperature of each view, the
-    weights of the views and the threshold.
+    Every fourth labelled row of a stratum is held back: its labels set the temperature of each
+    view, the weights of the views and the threshold.
     """
-    back = np.arange(len(labels)) % HELD_BACK == 0
     truth = np.array(labels)
+    kinds = np.array(strata if strata is not None else [(POOR, GOOD)[y] for y in labels])
+    back = held_back(kinds)
     labelled = [_rows(v) for v in views]
     pool = [_rows(p) for p in pools]
     taught: list[dict[int, int]] = [{}, {}]
@@ -179,60 +186,100 @@ def co_train(
         0.5,
     )
     u, v, w = mixing
-    fine = 1 / (1 + np.exp(-np.clip(u * odds[0] + v * odds[1] + w, -30, 30)))[truth[back] == 1]
-    if len(fine):
-        model.threshold = float(min(0.5, np.quantile(fine, LOST)))
+    scores = 1 / (1 + np.exp(-np.clip(u * odds[0] + v * odds[1] + w, -30, 30)))
+    by_stratum = {k: scores[kinds[back] == k] for k in sorted(set(kinds[back].tolist()))}
+    model.threshold = choose_threshold(
+        by_stratum.get(GOOD, np.zeros(0)), [s for k, s in by_stratum.items() if k != GOOD]
+    )
+    model.accepted = {k: float((s >= model.threshold).mean()) for k, s in by_stratum.items()}
     return model
 
 
+def held_back(strata: np.ndarray) -> np.ndarray:
+    """Every fourth row of each stratum, in their order."""
+    back = np.zeros(len(strata), bool)
+    for kind in set(strata.tolist()):
+        at = np.flatnonzero(strata == kind)
+        back[at[::HELD_BACK]] = True
+    return back
+
+
+def choose_threshold(fine: np.ndarray, bad: list[np.ndarray]) -> float:
+    """The score from which on documents are accepted.
+
+    Of the thresholds that lose at most LOST of the good rows the one that lets the least part
+    of any bad stratum pass, of such the lowest; then half way down to the next score below.
+    """
+    if not len(fine):
+        return 0.5
+    scores = np.unique(np.concatenate([fine, *bad]))
+    best, chosen = None, 0
+    for k, t in enumerate(scores.tolist()):
+        if (fine < t).mean() > LOST:
+            break
+        passed = max(((b >= t).mean() for b in bad if len(b)), default=0.0)
+        if best is None or passed < best:
+            best, chosen = passed, k
+    below = scores[chosen - 1] if chosen else 0.0
+    return float((scores[chosen] + below) / 2)
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, rows_by_class: int = ROWS_BY_CLASS, pool_rows: int = POOL_ROWS
+    docs: DataFrame,
+    labels: DataFrame,
+    rows_by_stratum: int = ROWS_BY_STRATUM,
+    pool_rows: int = POOL_ROWS,
 ) -> Model | None:
     """A model from bounded samples of labelled and of unlabelled documents; None without both
-    classes. Good is quality 1 and not toxic."""
+    classes. Good is quality 1 and not toxic.
+
+    Samples are chosen by hashes of ids or texts alone; what the driver gets of them is bounded
+    in rows and in bytes, by stratum.
+    """
+    scratch = Scratch(docs.sparkSession)
     known = pick(labels, "doc_id", "quality", "toxic").filter("doc_id is not null and quality is not null")
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.min(good.cast("int")).alias("good")
-    )
-    chosen = labelled_sample(known, "good", rows_by_class, "doc_id").select("doc_id", "good")
+    toxic = F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")) == 1
+    stratum = F.when(toxic, TOXIC).when(F.min((F.col("quality") == 1).cast("int")) == 1, GOOD).otherwise(POOR)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(stratum.alias("stratum"))
+    chosen = labelled_sample(known, "stratum", rows_by_stratum, "doc_id")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(*row) for row in _wanted(batch)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("good"),
+                    batch.column("stratum"),
+                    batch.column("sample_draw"),
                     pa.array([c.tobytes() for c, _ in found], pa.binary()),
                     pa.array([m.tobytes() for _, m in found], pa.binary()),
                 ],
-                names=["doc_id", "good", "content", "metadata"],
+                names=["stratum", "sample_draw", "content", "metadata"],
             )
 
-    # At most 2 * rows_by_class ids.
-    labelled = docs.join(F.broadcast(chosen), "doc_id").select(*COLUMNS, "good")
-    total = docs.count()
-    draw = F.pmod(F.xxhash64(F.lit("pool"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = min(1.0, (1.5 * pool_rows + 100) / max(total, 1))
-    pool = docs.filter(draw <= wanted).withColumn("draw", draw).orderBy("draw", "doc_id").limit(pool_rows)
-    pool = pool.select(*COLUMNS, F.lit(-1).alias("good"))
-    schema = "doc_id long, good int, content binary, metadata binary"
-    seen = sorted(
-        labelled.mapInArrow(vectors, schema).collect(), key=lambda r: (r["doc_id"], bytes(r["content"]))
-    )
-    ids = {r["doc_id"] for r in seen}
-    free = [r for r in pool.mapInArrow(vectors, schema).collect() if r["doc_id"] not in ids]
-    free.sort(key=lambda r: (r["doc_id"] or 0, bytes(r["content"])))
-    truth = [r["good"] for r in seen]
-    if len(set(truth[1::HELD_BACK])) < 2 or len(set(truth[::HELD_BACK])) < 2:
+    # At most so many ids by stratum.
+    labelled = docs.join(F.broadcast(chosen), "doc_id").select(*COLUMNS, "stratum", "sample_draw")
+    free = docs.withColumn("stratum", F.lit(POOL)).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    pool = labelled_sample(free, "stratum", pool_rows, "doc_id", "text").select(*labelled.columns)
+    schema = "stratum string, sample_draw long, content binary, metadata binary"
+    taken = scratch.save(labelled.unionByName(pool).mapInArrow(vectors, schema), "taken")
+    size = F.octet_length("content") + F.octet_length("metadata")
+    found = bounded(taken, "stratum", size, SAMPLE_BYTES).collect()
+    found.sort(key=lambda r: (r["sample_draw"], bytes(r["content"]), bytes(r["metadata"])))
+    seen, free = ([r for r in found if (r["stratum"] == POOL) == k] for k in (False, True))
+    strata = [r["stratum"] for r in seen]
+    truth = [int(k == GOOD) for k in strata]
+    back = held_back(np.array(strata, str))
+    if len({y for y, b in zip(truth, back, strict=True) if not b}) < 2 or len(set(truth)) < 2:
         return None
 
     def of(rows: list, column: str) -> list[np.ndarray]:
         return [np.frombuffer(r[column], np.int32) for r in rows]
 
     return co_train(
-        (of(seen, "content"), of(seen, "metadata")), truth, (of(free, "content"), of(free, "metadata"))
+        (of(seen, "content"), of(seen, "metadata")),
+        truth,
+        (of(free, "content"), of(free, "metadata")),
+        strata=strata,
     )
 
 
@@ -245,16 +292,23 @@ def _wanted(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(batch.column(c).to_pylist() for c in COLUMNS[1:]), strict=True)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(
+    docs: DataFrame,
+    labels: DataFrame,
+    rows_by_stratum: int = ROWS_BY_STRATUM,
+    pool_rows: int = POOL_ROWS,
+) -> DataFrame:
     """`docs` with quality_score (0 to 1) and accepted; columns of these names are replaced,
     and of names alike but for case one stays.
 
     Trained on `labels` (doc_id, quality, toxic): good documents are of quality 1 and not
     toxic. Two views, hashed words of the text and facts of the page (source, language, length,
     layout), are fitted apart, teach each other what they are sure of, and their calibrated
-    log-odds are combined. The threshold keeps 99 % of the good held-back rows.
+    log-odds are combined. The threshold keeps 99 % of the good held-back rows and, within that,
+    lets the least part of the poor or of the toxic ones pass.
 
-    Samples are bounded by ROWS_BY_CLASS and POOL_ROWS; all documents are scored whole. Null
+    Samples are bounded: `rows_by_stratum` labelled rows that are good, poor or toxic, and
+    `pool_rows` unlabelled ones to exchange labels on. All documents are scored whole. Null
     and empty texts have no words and are scored by the rest; nulls in other columns are
     values of their own; labels that are null are ignored, the worst of repeated ones counts;
     repeated rows are scored alike; without labels of both kinds all get 1.0 and are accepted;
@@ -263,7 +317,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Scratch(docs.sparkSession)  # sets the size of batches
     names = distinct_names(docs, *COLUMNS, without=("quality_score", "accepted"))
     docs = pick(docs, *names)
-    model = train(pick(docs, *COLUMNS), labels)
+    model = train(pick(docs, *COLUMNS), labels, rows_by_stratum, pool_rows)
     if model is None:
         return docs.withColumn("quality_score", F.lit(1.0)).withColumn("accepted", F.lit(True))
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -163,7 +163,7 @@ def test_quality_against_labels(spark):
     assert len(found) == table(spark, tables, "documents").count()
     good = [found[k].accepted for k, v in labels.items() if v]
     bad = [found[k].accepted for k, v in labels.items() if not v]
-    assert np.mean(good) > 0.95 and np.mean(bad) < 0.4
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.15
 
 
 def test_quality_awkward_and_empty(spark):
