@@ -31,10 +31,11 @@ POOL_ROWS = 2000
 SAMPLE_BYTES = 32 << 20
 # Part of the labelled rows held back to calibrate on: one in so many.
 HELD_BACK = 4
+EPOCHS = 5
 # Rounds of exchange, rows by class a view passes on in one, and how sure it must be.
 ROUNDS = 3
 PASSED_ON = 150
-SURE = 0.95
+SURE = 0.99
 PSEUDO_IMPORTANCE = 0.5
 # Good held-back rows that the threshold may lose.
 LOST = 0.01
@@ -152,9 +153,12 @@ def co_train(
         own = truth[~back].tolist()
         more = sorted(taught[view].items())
         weight = np.array([1.0] * len(own) + [PSEUDO_IMPORTANCE] * len(more))
-        model = Ftrl(FEATURES, 2, alpha=0.1, l1=1.0, l2=1.0)
+        model = Ftrl(FEATURES, 2, alpha=0.5, l1=0.3, l2=0.1)
         model.fit(
-            rows + [pool[view][k] for k, _ in more], own + [y for _, y in more], importance=weight
+            rows + [pool[view][k] for k, _ in more],
+            own + [y for _, y in more],
+            epochs=EPOCHS,
+            importance=weight,
         )
         held = [r for r, h in zip(labelled[view], back, strict=True) if h]
         return model, temperature(model.scores(held), truth[back])
