@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import defaultdict
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import extension
-from codequarry.sources.corpus import scan, under
+from codequarry.sources.corpus import kind, only_kinds, scan, under
+
+# Paths that are looked up by a list, in one filter.
+LISTED = 200
 
 
 def file_inventory(files: DataFrame, path: str = ".") -> DataFrame:
@@ -66,12 +73,29 @@ def directory_info(files: DataFrame) -> DataFrame:
     )
 
 
-def read_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
+def read_files(files: DataFrame, wanted: DataFrame, listed: int = LISTED) -> DataFrame:
     """Content of the wanted (project, path) pairs.
 
-    A plain equi-join: Spark broadcasts ``wanted`` when its size allows and
-    joins by hash or sort otherwise.
+    Up to ``listed`` pairs are also compared one by one, which Parquet skips row groups and
+    pages by: a stored corpus is in order of (project, path), below directories that the names
+    tell. More are a plain equi-join: Spark broadcasts ``wanted`` when its size allows and joins
+    by hash or sort otherwise.
     """
-    return files.join(wanted.select("project", "path").distinct(), ["project", "path"]).select(
-        "project", "path", "content"
-    )
+    keys = wanted.select("project", "path").distinct()
+    if "kind" in files.columns:
+        few = keys.withColumn("kind", kind(F.col("path"))).limit(listed + 1).collect()
+        if len(few) <= listed:
+            files = only_kinds(files, *sorted({r["kind"] for r in few})).where(_is_one_of(few))
+    return files.join(keys, ["project", "path"]).select("project", "path", "content")
+
+
+def _is_one_of(keys: list[Row]) -> Column:
+    by_project: dict[str, list[str]] = defaultdict(list)
+    for r in keys:
+        if r["project"] is not None and r["path"] is not None:
+            by_project[r["project"]].append(r["path"])
+    tests = [
+        (F.col("project") == project) & reduce(or_, [F.col("path") == p for p in sorted(paths)])
+        for project, paths in sorted(by_project.items())
+    ]
+    return reduce(or_, tests, F.lit(False))

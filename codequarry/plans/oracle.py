@@ -628,8 +628,17 @@ def _project() -> dict[str, str]:
     }
 
 
+# Stored tables, indexes and refreshed facts must give what the files themselves give.
+STORED = {
+    "search_index": "search_files",
+    "read_stored_files": "read_files",
+    "discover_stored": "discover_interfaces",
+    "refreshed_facts": "map_interfaces",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    plain = {
         **_inventory(),
         **_interfaces(),
         **_facts(),
@@ -637,3 +646,4 @@ def oracle_sql() -> dict[str, str]:
         **_flows(),
         **_project(),
     }
+    return plain | {name: plain[same] for name, same in STORED.items()}

@@ -19,10 +19,19 @@ from codequarry.functions.languages import (
 )
 from codequarry.operators import facts, flows, inventory, mapping, project, search
 from codequarry.operators import interfaces as ifaces
+from codequarry.operators.search_index import search_indexed, write_search_index
+from codequarry.operators.stored import read_facts, refresh_facts, write_facts
 from codequarry.rules import DETECTORS
 from codequarry.rules.base import FIELDS
-from codequarry.sources.corpus import as_source_files, scan, to_json_rows
+from codequarry.sources.corpus import (
+    as_source_files,
+    read_corpus,
+    scan,
+    to_json_rows,
+    write_corpus,
+)
 from codequarry.sources.sample import sample_files, table
+from codequarry.sources.scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +46,43 @@ def _listed(values: Column, *fields: str) -> Column:
     return F.array_join(F.array_sort(shown), "|")
 
 
+def _search_index(spark: SparkSession, tables: str) -> DataFrame:
+    """The search of `search_files`, over a stored corpus by its index."""
+    folder = shared_folder(spark, "search")
+    write_corpus(sample_files(spark, tables), f"{folder}/files")
+    write_search_index(spark, f"{folder}/files", f"{folder}/index")
+    return search_indexed(spark, f"{folder}/files", f"{folder}/index", "Order")
+
+
+def _stored_corpus(spark: SparkSession, tables: str) -> DataFrame:
+    folder = shared_folder(spark, "corpus")
+    write_corpus(sample_files(spark, tables), folder)
+    return read_corpus(spark, folder)
+
+
+def _read_stored(spark: SparkSession, tables: str) -> DataFrame:
+    return _read_files(_stored_corpus(spark, tables))
+
+
+def _discover_stored(spark: SparkSession, tables: str) -> DataFrame:
+    """The interfaces of `discover_interfaces`, from files that hold evidence only."""
+    return ifaces.discover_interfaces(_stored_corpus(spark, tables))
+
+
+def _refreshed_facts(spark: SparkSession, tables: str) -> DataFrame:
+    """The mappings of `map_interfaces`, from facts that were written of older files, some of
+    them missing, changed or since deleted, and then refreshed."""
+    files = sample_files(spark, tables)
+    h = F.pmod(F.xxhash64("project", "path"), F.lit(9))
+    text = F.when(h == 1, F.concat(F.lit("Gone.find();\n"), "content")).otherwise(F.col("content"))
+    gone = files.where(h == 2).withColumn("path", F.concat(F.lit("old/"), "path"))
+    older = files.where(h != 0).withColumn("content", text).unionByName(gone)
+    folder = shared_folder(spark, "facts")
+    write_facts(older, folder)
+    refresh_facts(files, folder)
+    return _map_interfaces(read_facts(spark, folder))
+
+
 def _over(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, tables: operator(sample_files(spark, tables))
 
@@ -335,4 +381,8 @@ def queries() -> dict[str, Query]:
         "project_dependencies": _over(project.project_dependencies),
         "project_profiles": _over(project.project_profiles),
         "project_summary": _over(_project_summary),
+        "search_index": _search_index,
+        "read_stored_files": _read_stored,
+        "discover_stored": _discover_stored,
+        "refreshed_facts": _refreshed_facts,
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import flows, interfaces, mapping
 from codequarry.rules import DETECTORS, evidence
-from codequarry.sources.corpus import read_corpus, to_json_rows, write_corpus
+from codequarry.sources.corpus import SCHEMA, read_corpus, to_json_rows, write_corpus
 from codequarry.sources.sample import sample_files
 
 
@@ -71,8 +71,12 @@ def scanned(df) -> dict[str, int]:
         node = nodes.pop()
         metrics = node.metrics()
         for name in ("numFiles", "numOutputRows"):
-            if node.nodeName().startswith("Scan") and metrics.contains(name):
+            if node.nodeName().startswith("Scan parquet") and metrics.contains(name):
                 found[name] = metrics.apply(name).value()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
         children = node.children()
         nodes += [children.apply(i) for i in range(children.size())]
     return found
@@ -94,3 +98,23 @@ def test_other_corpora_are_read_whole(spark, files, tmp_path):
     assert rows(found) == rows(
         interfaces.discover_interfaces(files, detectors=interfaces.detectors_named("warp"))
     )
+
+
+def test_few_paths_skip_pages_of_a_stored_corpus(spark, tmp_path):
+    """Wanted files are compared one by one, so most row groups are not read."""
+    from codequarry.operators.inventory import read_files
+
+    rows_ = [(f"p{k % 5}", f"d{k % 11}/f{k:05}.md", f"text {k} " * 60, 1) for k in range(6000)]
+    files = spark.createDataFrame(rows_, SCHEMA)
+    target = str(tmp_path / "files")
+    write_corpus(files, target, row_group_bytes=1 << 15)
+    stored = read_corpus(spark, target)
+    wanted = spark.createDataFrame(
+        [r[:2] for r in rows_[::1500]] + [("p0", "none.md"), (None, "x"), ("p1", "a.py")], "project string, path string"
+    )
+    found = read_files(stored, wanted)
+    assert sorted((r.project, r.path, r.content) for r in found.collect()) == sorted(r[:3] for r in rows_[::1500])
+    assert scanned(found)["numOutputRows"] < 6000 / 4
+    many = read_files(stored, wanted, listed=2)
+    assert sorted(r.path for r in many.collect()) == sorted(r.path for r in found.collect())
+    assert read_files(stored, wanted.limit(0)).count() == 0

@@ -22,7 +22,8 @@ CHECKED = [
     "search_files", "search_pages", "file_languages", "iface_nestjs", "iface_spring",
     "iface_warp", "discover_interfaces", "analyze_files", "socket_handlers", "map_interfaces",
     "interface_flows", "file_flows", "flow_counts", "package_profiles", "project_profiles",
-    "json_flows", "json_packages",
+    "json_flows", "json_packages", "search_index", "read_stored_files", "discover_stored",
+    "refreshed_facts",
 ]
 
 
