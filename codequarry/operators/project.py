@@ -9,7 +9,7 @@ neither lands in one task nor becomes one giant row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions.languages import display_language
@@ -353,3 +353,65 @@ def project_summary(files: DataFrame) -> DataFrame:
         *[F.array_sort(F.collect_set(value_in(s))).alias(s) for s in listed],
         *[F.count(value_in(s)).alias(s) for s in counted],
     )
+
+
+# Sections that come from fixed tables, and those without a bound, which pages hold.
+_LISTED = ("languages", "frameworks", *_SECTIONS, "runtimes", "packageManagers")
+_PAGED = ("dependencies", "entryPoints", "manifests")
+
+
+def project_pages(files: DataFrame, entries: int = 1000) -> DataFrame:
+    """Whole project profiles as nested rows: (project, page, *sections), pages from 0.
+
+    Page 0 holds all of what comes from fixed tables; frameworks have the side they are used on.
+    Dependencies, entry points and manifests (with their type) are cut into pages of `entries`
+    each, so no row grows with the project. All pages of a project joined are its profile.
+
+    Entries are numbered without bringing a project together: a hash of the value deals them to
+    as many buckets as all entries fill pages, each is numbered within its bucket, and the
+    bucket's offset is the sum of the counts before it. That depends on the values alone, so a
+    task that runs again gives the same.
+    """
+    if entries < 1:
+        raise ValueError("a page holds one entry at least")
+    rows = project_profiles(files)
+    paged = rows.where(F.col("section").isin(*_PAGED))
+    buckets = max(1, -(-paged.count() // entries))
+    key = ["project", "section", "bucket"]
+    dealt = paged.withColumn("bucket", F.pmod(F.xxhash64("value", "detail"), F.lit(buckets)))
+    order = Window.partitionBy(*key).orderBy("value", "detail")
+    numbered = dealt.withColumn("number", F.row_number().over(order) - 1)
+    before = Window.partitionBy("project", "section").orderBy("bucket")
+    counts = dealt.groupBy(*key).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("offset", F.sum("n").over(before) - F.col("n")).drop("n")
+    page = F.floor((F.col("offset") + F.col("number")) / entries).cast("int")
+    placed = numbered.join(counts, key).withColumn("page", page)
+    fixed = rows.where(F.col("section").isin(*_LISTED)).withColumn("page", F.lit(0))
+    columns = ["project", "page", "section", "value", "detail"]
+    together = fixed.select(*columns).unionByName(placed.select(*columns))
+
+    def of(section: str, item: Column) -> Column:
+        return F.sort_array(F.collect_set(F.when(F.col("section") == section, item)))
+
+    value = F.col("value")
+    sided = F.struct(value.alias("name"), F.col("detail").alias("side"))
+    typed = F.struct(value.alias("file"), F.col("detail").alias("type"))
+    items = {"frameworks": sided, "manifests": typed}
+    return together.groupBy("project", "page").agg(
+        *[of(s, items.get(s, value)).alias(s) for s in (*_LISTED, *_PAGED)]
+    )
+
+
+def profile_rows(pages: DataFrame) -> DataFrame:
+    """(project, section, value, detail) of pages: the rows of `project_profiles`."""
+
+    def rows(section: str) -> Column:
+        fields = {"frameworks": ("name", "side"), "manifests": ("file", "type")}.get(section)
+
+        def row(v: Column) -> Column:
+            value, detail = (v[fields[0]], v[fields[1]]) if fields else (v, F.lit(None).cast("string"))
+            return F.struct(F.lit(section).alias("section"), value.alias("value"), detail.alias("detail"))
+
+        return F.transform(section, row)
+
+    return pages.select("project", F.inline(F.concat(*[rows(s) for s in (*_LISTED, *_PAGED)])))

@@ -628,8 +628,9 @@ def _project() -> dict[str, str]:
     }
 
 
-# Stored tables, indexes and refreshed facts must give what the files themselves give.
+# Stored tables, indexes, refreshed facts and pages must give what the files themselves give.
 STORED = {
+    "project_pages": "project_profiles",
     "search_index": "search_files",
     "read_stored_files": "read_files",
     "discover_stored": "discover_interfaces",

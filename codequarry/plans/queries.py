@@ -381,6 +381,7 @@ def queries() -> dict[str, Query]:
         "project_dependencies": _over(project.project_dependencies),
         "project_profiles": _over(project.project_profiles),
         "project_summary": _over(_project_summary),
+        "project_pages": _over(lambda f: project.profile_rows(project.project_pages(f, entries=50))),
         "search_index": _search_index,
         "read_stored_files": _read_stored,
         "discover_stored": _discover_stored,

@@ -91,3 +91,27 @@ def test_spring_in_the_backend_is_a_runtime(source_files):
     assert [r.runtime for r in project.runtimes(files).collect()] == ["JVM"]
     rows = project.project_profiles(files).where("section = 'runtimes'").collect()
     assert [r.value for r in rows] == ["JVM"]
+
+
+def test_pages_hold_the_whole_profile(spark, source_files):
+    """One project with most of the entries: full pages, every row once, the rest on page 0."""
+    import json
+
+    names = {f"dep{k:03}": "1" for k in range(137)} | {"react": "1", "express": "2", "pg": "3"}
+    files = [("big", f"a{k}/index.js", "x") for k in range(45)]
+    files += [("big", f"m{k}/go.mod", "x") for k in range(20)] + [("big", f"p{k}/package.json", json.dumps({"dependencies": names})) for k in range(3)]
+    files += [("small", "package.json", '{"dependencies": {"vue": "1"}}'), ("bare", "x.py", "y")]
+    table = source_files(*files)
+    wanted = sorted(tuple(r) for r in project.project_profiles(table).collect())
+    wanted = sorted(wanted, key=repr)
+    for entries in (1, 7, 10, 1000):
+        pages = project.project_pages(table, entries)
+        rows = pages.collect()
+        assert sorted((tuple(r) for r in project.profile_rows(pages).collect()), key=repr) == wanted
+        for name in ("dependencies", "entryPoints", "manifests"):
+            sizes = {r.page: len(r[name]) for r in rows if r.project == "big"}
+            filled = [sizes[k] for k in sorted(sizes) if sizes[k]]
+            assert all(n == entries for n in filled[:-1]) and filled[-1] <= entries
+        assert all(not r.languages and not r.frameworks for r in rows if r.page)
+        assert {r.project for r in rows} == {"big", "small", "bare"}
+    assert project.project_pages(source_files(*files).limit(0)).collect() == []

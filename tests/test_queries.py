@@ -23,7 +23,7 @@ CHECKED = [
     "iface_warp", "discover_interfaces", "analyze_files", "socket_handlers", "map_interfaces",
     "interface_flows", "file_flows", "flow_counts", "package_profiles", "project_profiles",
     "json_flows", "json_packages", "search_index", "read_stored_files", "discover_stored",
-    "refreshed_facts",
+    "refreshed_facts", "project_pages",
 ]
 
 
