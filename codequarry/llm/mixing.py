@@ -34,6 +34,7 @@ def rates(
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(
         F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).alias("size")
     )
+    sizes = Scratch(docs.sparkSession).save(sizes, "sizes")  # used twice: one pass over the texts
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(power)))
     else:

@@ -211,17 +211,24 @@ WITH RECURSIVE size AS (
 ), rate AS (
   SELECT source, round(pow(CAST(size AS DOUBLE), 0.7) / (SELECT sum(pow(CAST(size AS DOUBLE), 0.7)) FROM size)
     * CAST((SELECT sum(size) FROM size) AS DOUBLE) / size, 6) AS rate FROM size
+), mean AS (
+  SELECT source, rate, draws, rate / draws AS mean
+  FROM (SELECT *, CAST(greatest(ceil(rate / 700), 1) AS INT) AS draws FROM rate)
 ), step AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rate
+  SELECT source, rate, draws, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM mean
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM step
-  WHERE k + 1 <= CAST(floor(rate + 12 * sqrt(rate) + 30) AS INT)
+  SELECT source, rate, draws, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM step
+  WHERE k + 1 <= CAST(floor(mean + 12 * sqrt(mean) + 30) AS INT)
 ), draw AS (
-  SELECT doc_id, source, CAST('0x' || substr(md5('42|copies|' || doc_id), 1, 13) AS BIGINT) / pow(2, 52) AS u
-  FROM documents
+  SELECT doc_id, d.source, rate, unnest(range(1, draws + 1)) AS place
+  FROM documents d JOIN mean m ON coalesce(d.source, '') = m.source
+), number AS (
+  SELECT doc_id, source, rate, CAST('0x' || substr(md5('42|copies|' || doc_id
+    || CASE WHEN place > 1 THEN '|' || place ELSE '' END), 1, 13) AS BIGINT) / pow(2, 52) AS u
+  FROM draw
 ), copies AS (
-  SELECT doc_id, d.source, rate, count(*) AS n
-  FROM draw d JOIN step s ON coalesce(d.source, '') = s.source AND s.c <= d.u GROUP BY ALL
+  SELECT doc_id, d.source, d.rate, count(*) AS n
+  FROM number d JOIN step s ON coalesce(d.source, '') = s.source AND s.c <= d.u GROUP BY ALL
 )
 SELECT doc_id, source, rate, CAST(n AS INT) AS n_copies, CAST(copy AS INT) AS "copy",
   substr(md5('42|order|' || doc_id || '|' || copy), 1, 16) AS shuffle_key
