@@ -34,6 +34,9 @@ SCHEMA = T.StructType(
 IGNORED_DIRECTORIES = ("node_modules", ".git", "dist", "build", "coverage")
 # -----------------------------------------------------------------------------
 
+# Rows of a page, the least that a filter on project and path can skip.
+PAGE_ROWS = 200
+
 PACKAGE_KIND = "package"
 OTHER_KIND = "other"
 CODE_KINDS = tuple(sorted({key for key, _ in LANGUAGES.values()}))
@@ -111,6 +114,8 @@ def write_corpus(
         laid_out = laid_out.hint("rebalance", "kind", EVIDENCE)
     ordered = laid_out.sortWithinPartitions("kind", EVIDENCE, "project", "path")
     writer = ordered.write.partitionBy("kind", EVIDENCE).mode(mode)
+    # Rows are skipped by pages of the columns that a filter names, which hold few bytes by row.
+    writer = writer.option("parquet.page.row.count.limit", PAGE_ROWS)
     writer.option("parquet.block.size", row_group_bytes).parquet(target)
 
 
