@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
-from codequarry.functions.text import extension, join_paths, matches_with_line
+from codequarry.functions.text import all_matches, extension, join_paths, matches_with_line
 from codequarry.operators import facts, flows, mapping
 from codequarry.rules import (
     csharp,
@@ -148,3 +148,47 @@ def test_joined_paths(spark):
     ).collect()
     assert [r.stripped for r in rows] == ["/", "/a", "/b", "/a/b", "/", "/a/b"]
     assert [r.kept for r in rows] == ["/", "/a/", "/b/", "/a/b", "/", "/a/b"]
+
+
+def test_matches_are_looked_for_in_front_of_their_ends_alone(spark):
+    """Calls and methods come from the few words in front of a bracket, as from the whole text."""
+    texts = [
+        "a.find(\n$b$.findOne (x.b.update(y).deleteMany(1a.create(DB.Query\n(",
+        "f(public  static\nList<int[]> g (a b(\n\nprivate x\n y\t(static z  w(",
+        "new X(publicint a(b c d e f( g h(", ").find(.query($.query(_.execute(é.find(x",
+        "word " * 5000, "",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    t = F.col("t")
+    patterns = [facts.DB_CALL, *facts.FUNCTIONS["java"], *facts.FUNCTIONS["csharp"]]
+    for p in patterns:
+        assert p.end is not None
+        plain = Rx(p.source, p.ignore_case)
+        shown = rows.select(
+            all_matches(t, p), plain.all(t),
+            matches_with_line(t, p, lambda m: m), matches_with_line(t, plain, lambda m: m),
+        )
+        for found, wanted, placed, wanted_places in shown.collect():
+            assert (found, placed) == (wanted, wanted_places)
+
+
+def test_patterns_led_by_first_characters_find_the_same(spark):
+    rng = random.Random(12)
+    words = [
+        "async ", "function", "function a(", "def a(", "fn a(", "let a =", "a =>", "fn", "pub ", "def", "const", "let", "var", "xlet", "cet", " ", " ",
+        "\n", "f", "g$", "(", ")", "=", "=>", "a", "x =", "async def", "pub async fn", "éfn", "_",
+        "@Controller(", "@Controller", "@Get", "class A", "@",
+    ]
+    values = ["".join(rng.choices(words, k=rng.randint(3, 24))) for _ in range(4000)]
+    values += ["@Controller('a') class A " + "@Get @Controllers " * 9000]  # no deep stack
+    led = [p for ps in facts.FUNCTIONS.values() for p in ps if p.led]
+    led += [p for _, p in mapping.NAMED_FUNCTIONS]
+    assert len(led) == 9 and all(p.led for p in led)
+    led.append(javascript.NEST_BLOCK)
+    columns = [F.struct(p.all(F.col("t")), Rx(p.source).all(F.col("t"))) for p in led]
+    found = 0
+    for r in texts(spark, values).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).collect():
+        for quick, plain in r:
+            assert quick == plain
+            found += len(quick)
+    assert found > 500
