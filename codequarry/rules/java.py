@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
 from codequarry.functions.text import join_paths, let, mentions, strings_if
-from codequarry.rules.base import Source, call, event_rows, grpc_rows, http_rows
+from codequarry.rules.base import Source, call, event_rows, grpc_rows, http_rows, rows_if
 
 # --- fixed values: patterns --------------------------------------------------
 SPRING_EVIDENCE = Rx(
@@ -128,7 +128,7 @@ def jax_rs(src: Source) -> Column:
         ),
     )
     framework = F.when(mentions(text, "jakarta.ws.rs"), "Jakarta REST").otherwise("JAX-RS")
-    return let(framework, lambda f: http_rows(f, strings_if(gate, calls)))
+    return rows_if(gate, let(framework, lambda f: http_rows(f, calls)))
 
 
 def spring_websocket(src: Source) -> Column:

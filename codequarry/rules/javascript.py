@@ -199,5 +199,5 @@ def graphql(src: Source) -> Column:
         lambda p: F.when(F.size(p) == 0, F.array(F.lit("/graphql"))).otherwise(p),
     )
     framework = F.when(APOLLO.found_in(text), "Apollo Server").otherwise("GraphQL")
-    calls = strings_if(gate, F.transform(paths, lambda p: call(F.lit("POST"), p)))
-    return let(framework, lambda f: http_rows(f, calls, protocol="graphql"))
+    calls = F.transform(paths, lambda p: call(F.lit("POST"), p))
+    return rows_if(gate, let(framework, lambda f: http_rows(f, calls, protocol="graphql")))
