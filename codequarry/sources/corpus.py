@@ -91,15 +91,17 @@ def write_corpus(
     files: DataFrame,
     target: str,
     mode: str = "errorifexists",
-    rebalance: bool = True,
+    rebalance: bool = False,
     row_group_bytes: int = 16 << 20,
 ) -> None:
     """Write source files as Parquet, by kind and evidence, files ordered by (project, path).
 
     A kind has at most as many directories as its rules have combinations, 128.
-    One shuffle gathers each directory into files of the advisory partition size,
-    splitting large ones, which spares later scans many small files. Without
-    ``rebalance`` nothing is shuffled and each task writes what it holds. Within a file rows are in order, so a filter on a project or a
+    Texts are not shuffled: each task orders the rows it holds and writes them, so there are as
+    many files as tasks times directories that they meet. Few tasks of some 256 MB of text make
+    few files and still order them in memory. With ``rebalance`` one shuffle of all texts gathers
+    each directory into files of the advisory partition size, splitting large ones, for tables
+    that come in many small tasks. Within a file rows are in order, so a filter on a project or a
     subtree skips the row groups that lie outside of it. A scan is split by row
     groups; as its work is CPU, these are smaller than is usual.
     """
@@ -116,6 +118,8 @@ def write_corpus(
     writer = ordered.write.partitionBy("kind", EVIDENCE).mode(mode)
     # Rows are skipped by pages of the columns that a filter names, which hold few bytes by row.
     writer = writer.option("parquet.page.row.count.limit", PAGE_ROWS)
+    # Two thirds of what the default codec leaves of source texts.
+    writer = writer.option("compression", "zstd")
     writer.option("parquet.block.size", row_group_bytes).parquet(target)
 
 

@@ -14,6 +14,8 @@ from codequarry.sources.corpus import as_source_files
 from codequarry.sources.sample_templates import TEMPLATES
 
 EVERY = 5  # files of a template per file without evidence
+# Characters of documents in the files of a task. Tasks that order them hold these in memory.
+TASK_CHARS = 384 << 20
 
 
 def table(spark: SparkSession, tables: str, name: str) -> DataFrame:
@@ -22,19 +24,22 @@ def table(spark: SparkSession, tables: str, name: str) -> DataFrame:
 
 def sample_files(spark: SparkSession, tables: str) -> DataFrame:
     """(project, path, content, size) derived from the tables in a directory."""
-    documents = table(spark, tables, "documents").select("doc_id", "text")
-    document_count = documents.agg(F.count("*")).scalar()
+    documents = table(spark, tables, "documents")
+    orders = table(spark, tables, "orders").select("o_orderkey", "o_custkey")
+    document_count, chars = documents.agg(F.count("*"), F.sum("n_chars")).first()
+    documents = documents.select("doc_id", "text")
     templates = spark.createDataFrame(
         [(i, *t) for i, t in enumerate(TEMPLATES)],
         "template bigint, path string, evidence string, body string",
     )
     n = len(TEMPLATES)
     key = F.col("o_orderkey")
-    # The orders are small next to the text made from them: spread them first.
+    # The orders are small next to the text made from them: spread them first, by what they are
+    # joined on, over as many tasks as that text needs. Sizes of the shuffle would not tell.
+    tasks = orders.count() * (chars or 0) // max(document_count, 1) // TASK_CHARS + 1
     numbered = (
-        table(spark, tables, "orders")
-        .select("o_orderkey", "o_custkey")
-        .repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey")
+        orders.withColumn("doc_id", key % document_count)
+        .repartition(max(tasks, 2 * spark.sparkContext.defaultParallelism), "doc_id")
         .select(
             F.when(key % 3 == 0, "mono")
             .otherwise(F.concat(F.lit("p"), (F.col("o_custkey") % 20).cast("string")))
@@ -42,7 +47,7 @@ def sample_files(spark: SparkSession, tables: str) -> DataFrame:
             key.cast("string").alias("k"),
             (key % n).alias("template"),
             (F.floor(key / n) % EVERY == 0).alias("bare"),
-            (key % document_count).alias("doc_id"),
+            "doc_id",
         )
     )
     text = F.concat(F.when(F.col("bare"), "").otherwise(F.col("evidence")), F.col("body"))

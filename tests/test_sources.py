@@ -241,3 +241,46 @@ def test_profiles_shuffle_once_and_combine_first(corpus):
     physical = plan(project.project_profiles(corpus))
     assert physical.count("Exchange hashpartitioning") == 1 and physical.count("FileScan") == 3
     assert physical.count("HashAggregate") == 2
+
+
+def test_each_task_writes_the_texts_it_holds(spark, source_files, tmp_path):
+    """Texts go from where they are to their files, without a shuffle, and are packed well."""
+    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    files = source_files(*[(f"d{k % 3}/f{k:03}.md", f"text {k} " * 9) for k in range(200)]).repartition(4)
+    held = files.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    target = str(tmp_path / "c")
+    write_corpus(files, target)
+    written = [pq.ParquetFile(f).metadata for f in ds.dataset(target, format="parquet").files]
+    assert sorted(m.num_rows for m in written) == sorted(r["count"] for r in held) and len(held) == 4
+    names = [m.row_group(0).column(i).path_in_schema for m in written[:1] for i in range(m.num_columns)]
+    assert {m.row_group(0).column(names.index("content")).compression for m in written} == {"ZSTD"}
+    stored = read_corpus(spark, target).select("project", "path", "content", "size")
+    assert sorted(stored.collect()) == sorted(files.select(stored.columns).collect())
+    write_corpus(files, str(tmp_path / "few"), rebalance=True)
+    assert len(ds.dataset(tmp_path / "few", format="parquet").files) == 1
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_sample_files_are_made_in_tasks_of_bounded_text(spark, tmp_path, monkeypatch, threshold):
+    """The text grows out of small shuffled rows, so their size must not decide on the tasks."""
+    from codequarry.sources import sample
+
+    documents = [(k, "x" * 1000, None if k == 5 else 1000) for k in range(200)]
+    spark.createDataFrame(documents, "doc_id long, text string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    orders = [(k, k % 7) for k in range(2000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(sample, "TASK_CHARS", 50_000, raising=False)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        files = sample.sample_files(spark, str(tmp_path))
+        by_task = files.withColumn("task", F.spark_partition_id()).groupBy("task")
+        sizes = [r.size for r in by_task.agg(F.sum("size").alias("size")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert files.count() == 2000
+    assert len(sizes) > 30 and max(sizes) < sum(sizes) / 8
