@@ -23,6 +23,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,7 +100,18 @@ def refresh_facts(files: DataFrame, target: str, path: str = ".") -> Refreshed:
         .when(F.col("known") != F.col("digest"), "changed")
         .otherwise("unchanged")
     )
-    compared = compared.withColumn("state", state)
+    # What differs is asked for three times; to find it texts may be read for their digests.
+    compared = compared.select("project", "file", *PARTITIONS, state.alias("state"))
+    compared = compared.persist(StorageLevel.DISK_ONLY)
+    try:
+        return _brought_up(files, path, stored, compared, target, buckets)
+    finally:
+        compared.unpersist()
+
+
+def _brought_up(
+    files: DataFrame, path: str, stored: DataFrame, compared: DataFrame, target: str, buckets: int
+) -> Refreshed:
     # At most as many rows as there are directories and states.
     summary = compared.groupBy(*PARTITIONS, "state").count().collect()
     total: dict[str, int] = defaultdict(int)
@@ -115,7 +127,7 @@ def refresh_facts(files: DataFrame, target: str, path: str = ".") -> Refreshed:
     if touched:
         differing = compared.where(F.col("state") != "unchanged").select("project", "file", "state")
         _replace(files, path, stored, differing, touched, total, target, buckets)
-        _delete([p for p in touched if not left[p]], target, spark)
+        _delete([p for p in touched if not left[p]], target, files.sparkSession)
     return Refreshed(
         total["added"], total["changed"], total["deleted"], total["unchanged"], len(touched)
     )
