@@ -9,7 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions.patterns import Rx
-from codequarry.functions.text import all_matches, extension, join_paths, matches_with_line
+from codequarry.functions.text import (
+    all_matches,
+    extension,
+    join_paths,
+    matches_with_line,
+    mentions,
+)
 from codequarry.operators import facts, flows, mapping
 from codequarry.rules import (
     csharp,
@@ -192,3 +198,58 @@ def test_patterns_led_by_first_characters_find_the_same(spark):
             assert quick == plain
             found += len(quick)
     assert found > 500
+
+
+def test_lines_of_few_and_of_many_matches(spark):
+    """Both ways to number lines, with matches behind long gaps and over several lines."""
+    gaps = ["", "\n", "x " * 300, "a\n\nb ", "é" * 250 + "\n"]
+    rng = random.Random(23)
+    calls = ["db.query(", "User.find(", "a$b\n.find(", "query (", ".run("]
+    values = [
+        "".join(rng.choice(gaps) + rng.choice(calls) for _ in range(n)) for n in [*range(30)] * 4
+    ]
+    plain = Rx(facts.DB_CALL.source, ignore_case=True)
+    t = F.col("t")
+    rows = texts(spark, values).select(
+        "t",
+        *[matches_with_line(t, p, lambda m: m).alias(n) for n, p in (("a", facts.DB_CALL), ("b", plain))],
+    )
+    for r in rows.collect():
+        found = re.finditer(r"[\w$]*\.(?:find|query|run)\s*\(", r.t, re.ASCII)
+        lines = [f"{r.t.count(chr(10), 0, m.start()) + 1}:{m[0]}" for m in found]
+        assert r.a == lines and r.b == lines
+
+
+def test_names_longer_than_what_is_looked_at_first(spark):
+    name = "n" * 1000
+    [r] = texts(spark, [f"x\n{name}.find("]).select(all_matches(F.col("t"), facts.DB_CALL).alias("m")).collect()
+    assert r.m == [f"{name}.find("]
+
+
+def test_words_are_mentioned_or_not(spark):
+    words = ["express", "xpress", "=>", "e", "http.", "socket.io-client", "aa"]
+    values = ["express", "xpress expres", "=", "socket.io-clien socket.io-client", "", None, "aéhttps.http."]
+    rows = texts(spark, values).select("t", *[mentions(F.col("t"), w) for w in words]).collect()
+    for r in rows:
+        assert list(r[1:]) == [None if r.t is None else w in r.t for w in words]
+
+
+def test_rewritten_rule_patterns_find_the_same(spark):
+    words = [
+        "@", "GetMapping", "RequestMapping", " ", "\n", "(", ")", "é", "x", "_", "9", "=", "FastAPI",
+        "APIRouter", "from", "import", "fastapi", ".Map", "Get", "MapGet", "'a'", "[Http", "[ApiController]",
+        "ControllerBase", "Microsoft.AspNetCore", ".SignalR", ":", "Hub", "Clients.", "All", "SendAsync",
+        "= FastAPI(", "r=APIRouter(", "x.MapPost(", "WebApplication.CreateBuilder",
+    ]
+    rng = random.Random(29)
+    df = texts(spark, ["".join(rng.choices(words, k=rng.randint(2, 25))) for _ in range(6000)])
+    t = F.col("t")
+    for p in (
+        java.SPRING_MAPPING, python.FASTAPI_EVIDENCE, python.FASTAPI_APP, python.FASTAPI_ROUTER,
+        csharp.ASPNET_EVIDENCE, csharp.ASPNET_MAP, csharp.SIGNALR_EVIDENCE,
+    ):
+        plain = Rx(p.source, p.ignore_case)
+        assert df.where(all_matches(t, p) != plain.all(t)).count() == 0, p.source
+    other = df.where(~t.contains(".Map"))
+    plain = Rx(csharp.ASPNET_EVIDENCE.source)
+    assert other.where(csharp.ASPNET_OTHER_EVIDENCE.found_in(t) != plain.found_in(t)).count() == 0
